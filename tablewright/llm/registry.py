@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe_codec, chat_format, scaled_sketch, simhash, token_counts, warc_store
+from tablewright.llm import bpe_codec, chat_format, license_scan, quality_knn, scaled_sketch, simhash, token_counts, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,17 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), texts=False).drop("text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("holds")
+
+
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit_on(docs, _table(spark, sf_dir, "labels"))
+    held = quality_knn.held_out(F.col("doc_id")).alias("held_out")
+    return quality_knn.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc_store.write_archive(_table(spark, sf_dir, "pages"))
     return warc_store.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_bpe_codec": op5_bpe_codec,
+        "op6_license_scan": op6_license_scan,
+        "op7_quality_knn": op7_quality_knn,
         "op8_warc_archive": op8_warc_archive,
         "op9_token_counts": op9_token_counts,
         "op10_scaled_sketch": op10_scaled_sketch,
