@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe_codec, chat_format, license_scan, quality_knn, scaled_sketch, simhash, token_counts, warc_store
+from tablewright.llm import bpe_codec, chat_format, license_scan, quality_knn, scaled_sketch, simhash, substring_dedup, token_counts, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(2).select(
@@ -58,6 +63,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_bpe_codec": op5_bpe_codec,
