@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe_codec, chat_format, license_scan, quality_knn, scaled_sketch, simhash, substring_dedup, token_counts, warc_store
+from tablewright.llm import bpe_codec, chat_format, decontaminate, license_scan, quality_knn, scaled_sketch, simhash, substring_dedup, token_counts, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), texts=False).drop("text")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_decontaminate": op4_decontaminate,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_license_scan": op6_license_scan,
         "op7_quality_knn": op7_quality_knn,
