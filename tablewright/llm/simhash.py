@@ -1,7 +1,7 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is cut into three blocks of 22, 21 and 21 bits. Two fingerprints that differ in at most four bits
-differ in at most one bit of some block. Each block is padded to 23 bits, where the words of the binary Golay code are
+A 64-bit fingerprint is cut into blocks, one more than half the threshold: 22, 21 and 21 bits for a threshold of four.
+Two fingerprints within the threshold differ in at most one bit of some block. Each block is padded to 23 bits, where the words of the binary Golay code are
 anchors with covering radius 3: every value lies within 3 bits of exactly one anchor, its home, and a value that
 differs from it in one bit lies within 3 + 1 bits of that same anchor. So a fingerprint is filed under its home anchor
 and replicated to every anchor within 4 bits, in each block, and pairs are compared within an anchor only. No pair of
@@ -19,14 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.storage import small_batches, width, written
+from tablewright.llm.words import mix, sequence_hashes, word_hashes
 
 SHINGLE = 4
 THRESHOLD = 4
-BLOCKS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
 GOLAY_POLYNOMIAL = 0b101011100011
 GOLAY_LENGTH, GOLAY_BITS, RADIUS = 23, 12, 3
 #: Fingerprints of one anchor that are compared directly; more are first filed again by the bits that remain.
@@ -63,24 +63,32 @@ def _majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; a null or blank text has fp 0. fp is the unsigned fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2, same) of every row; a null or blank text has fp 0. fp is the unsigned fingerprint's bits as a long.
+
+    ``distinct`` takes each shingle once. fp2 is a second fingerprint by other hashes of the same shingles. same is a
+    hash of the text, null and blank texts alike.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.zeros(batch.num_rows, np.uint64)
+            fps, others, same = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 raw = text.as_py()
                 if raw:
                     words = raw.lower().split()
                     if words:
                         hashes = np.array(_shingle_hashes(words, shingle), np.uint64)
+                        if distinct:
+                            hashes = np.unique(hashes)
+                            others[i] = _majorities(mix(hashes), np.array([0]))[0]
+                        same[i] = xxhash.xxh3_64_intdigest(raw)
                         fps[i] = _majorities(hashes, np.array([0]))[0]
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others, same))], names=["doc_id", "fp", "fp2", "same"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+        run, "doc_id long, fp long, fp2 long, same long"
     )
 
 
@@ -126,6 +134,14 @@ def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index, anchor, anchor == home[index]
 
 
+def blocks(threshold: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of the blocks of which one differs in at most one bit between fingerprints within the threshold."""
+    if not 4 <= threshold <= 15:
+        raise ValueError("the threshold is 4 to 15 bits")
+    at = [64 * i // (threshold // 2 + 1) for i in range(threshold // 2 + 2)]
+    return [(a, b - a) for a, b in zip(at[:-1], at[1:])]
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -186,16 +202,15 @@ def forest_links(home: np.ndarray, near: np.ndarray, threshold: int) -> list[tup
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) links of distinct fingerprints ``fps(fp)`` whose components are those of all pairs within ``threshold``."""
-    if threshold > 5:
-        raise ValueError("three blocks find pairs that differ in at most five bits")
+    cuts = blocks(threshold)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, (low, size) in enumerate(BLOCKS):
+            for k, (low, size) in enumerate(cuts):
                 index, anchor, at_home = anchors((fp.view(np.uint64) >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64))
                 yield pa.record_batch(
-                    [pa.array((anchor << 2 | k).astype(np.int32)), pa.array(at_home), pa.array(fp[index])], names=["anchor", "home", "fp"]
+                    [pa.array((anchor << 4 | k).astype(np.int32)), pa.array(at_home), pa.array(fp[index])], names=["anchor", "home", "fp"]
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     texts have fingerprint zero and link like any other. Repeated rows each give a row. A null doc_id keeps its row and
     counts as no id: its component is the smallest real one, or null. Other columns are ignored.
     """
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+    prints = written(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first, threshold))
     joined = first.join(roots, first.fp == roots.id, "left").select(
@@ -245,3 +260,101 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     best = written(joined.groupBy("root").agg(F.min("first").alias("component_id")), "best")
     labels = written(joined.join(best, "root").select("fp", "component_id"), "labels")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For documents that must be alike, not only close in fingerprint: fingerprints of distinct word pairs, whose distance
+#: stays small for texts that share four fifths of their longer shingles, and members that one task compares.
+PAIR_SHINGLE, PAIR_THRESHOLD, MEMBERS = 2, 9, 512
+TEXT_SHINGLE, SIMILARITY = 5, 0.8
+SET_BASE = 0x3C79AC492BA7B653
+
+
+def alike_links(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join whatever pairs of sets of at least that Jaccard similarity join."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column) > 1
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    both = sizes[:, None] + sizes[None, :] - common
+    forest, links = _Forest(len(sets)), []
+    for i, j in np.argwhere(np.triu((common >= similarity * both) & (both > 0), 1)).tolist():
+        if forest.join(i, j):
+            links.append((ids[i], ids[j]))
+    return links
+
+
+def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: groups of equal texts and of texts alike over shingles of words.
+
+    Candidates are the components of two fingerprints of distinct word pairs within PAIR_THRESHOLD bits, either of
+    which misses about one in a hundred alike pairs of ordinary texts; within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of MEMBERS,
+    each of which emits a spanning forest of its links. Words are lower-cased (A-Z). Blank and null texts are equal.
+    component_id is the smallest doc_id of the group; rows without doc_id are left out.
+    """
+    spark = docs.sparkSession
+    prints = written(fingerprints(docs.where("doc_id is not null"), PAIR_SHINGLE, distinct=True), "fingerprints")
+    texts = written(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "texts")
+    near = [links(texts.select(F.col(c).alias("fp")).distinct(), PAIR_THRESHOLD) for c in ("fp", "fp2")]
+    roots = components(near[0].unionByName(near[1]).unionByName(texts.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))))
+    classed = written(texts.join(roots, texts.fp == roots.id, "left").select("rep", F.coalesce("root", "fp").alias("class")), "classes")
+    sizes = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = classed.join(sizes, "class").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("class").orderBy("rep")) - 1) / MEMBERS).cast("int"))
+    members = written(members.select("class", "rep", "block", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, starts = word_hashes(batch.column("text"), lower=True)
+            hashes = sequence_hashes(words, shingle, SET_BASE)
+            own = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                n = e - s
+                one = hashes[s : e - shingle + 1] if n >= shingle else sequence_hashes(words[s:e], n, SET_BASE) if n else hashes[:0]
+                own.append(np.unique(one >> np.uint64(1)).astype(np.int64).tobytes())
+            yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
+
+    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body")).where("rep is not null")
+    # Rows that repeat an id with other texts: each text has its own smallest id, so the id's texts all stand for it.
+    found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(sets, "class long, rep long, block int, blocks int, set binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (
+        found.withColumn("other", other)
+        .select("class", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "set")
+        .repartition(width(spark), "class", "a", "b")
+        .sortWithinPartitions("class", "a", "b", "rep")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, own = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k, rep, one in zip(zip(*(batch.column(c).to_pylist() for c in ("class", "a", "b"))), batch.column("rep").to_pylist(), batch.column("set").to_pylist()):
+                if k != key:
+                    if len(ids) > 1:
+                        out += alike_links(ids, own, similarity)
+                    key, ids, own = k, [], []
+                ids.append(rep)
+                own.append(np.frombuffer(one, np.int64))
+            if out:
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        if len(ids) > 1 and (out := alike_links(ids, own, similarity)):
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    joined = components(dealt.mapInArrow(compare, "a long, b long"))
+    label = written(texts.join(joined, texts.rep == joined.id, "left").select("same", F.coalesce("root", "rep").alias("component_id")), "labels")
+    return prints.join(label, "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of :func:`alike_groups`: that of the smallest doc_id. Rows without id stay."""
+    groups = alike_groups(docs, similarity, shingle)
+    gone = written(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(gone, docs.doc_id.cast("long") == F.col("gone"), "left_anti")

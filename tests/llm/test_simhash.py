@@ -88,4 +88,45 @@ def test_edge_rows(spark):
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 4), (4, 4), (4, 4)]
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fp long"), threshold=9)
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), threshold=3)
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_groups_of_alike_texts(spark, monkeypatch):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, "x") for r in base]
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        words = base[k % 6].text.split()
+        for i in rng.choice(len(words), max(1, len(words) // 60), replace=False):
+            words[i] = f"new{k}{i}"
+        rows.append((1000 + k, " ".join(words), "x"))
+    rows += [(2000, None, "x"), (2001, " ", "x"), (None, base[0].text, "x"), (3, base[3].text, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    own = [(i, t) for i, t, _ in rows if i is not None]
+    up = {i: i for i, _ in own}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, (i, a) in enumerate(own):
+        for j, b in own[:n]:
+            if jaccard(a, b) >= 0.8 and find(i) != find(j):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    want = {(i, find(i)) for i, _ in own}
+    assert {(r.doc_id, r.component_id) for r in simhash.alike_groups(docs).collect()} == want
+    monkeypatch.setattr(simhash, "MEMBERS", 7)
+    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([x for x, y in want if x == y] + [3])
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert simhash.keep_one(docs.limit(0)).count() == 0
