@@ -109,5 +109,6 @@ def seeded_rand(df: DataFrame, ops: Sequence[Op], seed: int, rid: str, keys: Seq
         rows = rows.withColumn(f"_k{i}", F.when(F.col(f"_v{i}").isNotNull() & keep, quoted(rid)))
         chosen.append(F.coalesce(F.max_by(f"_v{i}", f"_k{i}"), F.lit("N/A")).alias(o.label))
         ordinal = ordinal + F.col(f"_v{i}").isNotNull().cast("long")
-    shown = [F.min_by(quoted(k), quoted(rid)).alias(k) for k in keys]
-    return rows.groupBy("_group").agg(*shown, *chosen).orderBy("_group").drop("_group")
+    shown = [F.min_by(quoted(k), quoted(rid)).alias(f"_s{i}") for i, k in enumerate(keys)]
+    made = rows.groupBy("_group").agg(*shown, *chosen).orderBy("_group")
+    return made.select(*[F.col(f"_s{i}").alias(k) for i, k in enumerate(keys)], *[quoted(o.label) for o in ops])

@@ -147,7 +147,7 @@ def summarise(
     if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED for o in ops)) and rid is None:
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
-    shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(k) for k in keys]
+    shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(f"_s{i}") for i, k in enumerate(keys)]
     extra = [_representative(df, ops, rid, narm, separator).alias("_rep")] if full else []
     if not keys:
         result = df.agg(F.count("*").alias("_n"), *extra, *made).where("_n > 0").drop("_n")
@@ -161,6 +161,6 @@ def summarise(
     if full:
         rows = df.select(quoted(rid).alias("_rep"), F.struct(*[quoted(c) for c in columns]).alias("_row"))
         order = [c for c in result.columns if c.startswith("_g")]
-        joined = result.drop(*keys).join(rows, "_rep").orderBy(*order or ["_rep"])
+        joined = result.join(rows, "_rep").orderBy(*order or ["_rep"])
         return joined.select("_row.*", *[quoted(n) for n in names])
-    return result.select(*[quoted(k) for k in keys], *[quoted(n) for n in names])
+    return result.select(*[F.col(f"_s{i}").alias(k) for i, k in enumerate(keys)], *[quoted(n) for n in names])
