@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches
+from tablewright.llm.storage import lean, small_batches
 from tablewright.llm.words import word_hashes
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their ids.
@@ -129,7 +129,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in counts], pa.binary())], names=["doc_id", "label", "terms"])
 
     one = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = one.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "doc_id long, label int, terms binary").toArrow()
+    rows = one.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "doc_id long, label int, terms binary").toArrow()
     rows = rows.sort_by("doc_id").combine_chunks()
     counts = np.stack([np.frombuffer(x, np.float32) for x in rows["terms"].to_pylist()]) if len(rows) else np.zeros((0, TERMS), np.float32)
     return fit(counts[: 2 * sample], rows["label"].to_numpy()[: 2 * sample].astype(np.float32))
@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"{schema}, score double, predicted int")

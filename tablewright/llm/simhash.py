@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.components import components
-from tablewright.llm.storage import small_batches, width, written
+from tablewright.llm.storage import lean, small_batches, width, written
 from tablewright.llm.words import mix, sequence_hashes, word_hashes
 
 SHINGLE = 4
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False
             yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others, same))], names=["doc_id", "fp", "fp2", "same"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long, fp2 long, same long"
+        lean(run), "doc_id long, fp long, fp2 long, same long"
     )
 
 
@@ -239,9 +239,9 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         yield from close()
 
     spark = fps.sparkSession
-    spread = fps.select("fp").mapInArrow(replicate, "anchor int, home boolean, fp long")
+    spread = fps.select("fp").mapInArrow(lean(replicate), "anchor int, home boolean, fp long")
     dealt = spread.repartition(width(spark), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -323,7 +323,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body")).where("rep is not null")
     # Rows that repeat an id with other texts: each text has its own smallest id, so the id's texts all stand for it.
-    found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(sets, "class long, rep long, block int, blocks int, set binary")
+    found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(lean(sets), "class long, rep long, block int, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         found.withColumn("other", other)
@@ -348,7 +348,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         if len(ids) > 1 and (out := alike_links(ids, own, similarity)):
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    joined = components(dealt.mapInArrow(compare, "a long, b long"))
+    joined = components(dealt.mapInArrow(lean(compare), "a long, b long"))
     label = written(texts.join(joined, texts.rep == joined.id, "left").select("same", F.coalesce("root", "rep").alias("component_id")), "labels")
     return prints.join(label, "same").select("doc_id", "component_id")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches, width, written
+from tablewright.llm.storage import lean, small_batches, width, written
 from tablewright.llm.words import U64, mix, sequence_hashes, word_hashes
 
 WINDOW = 20
@@ -149,7 +149,7 @@ def repeated_names(docs: DataFrame, window: int = WINDOW) -> NameFilter:
             count[np.searchsorted(names, twice)] = 2
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(count)], names=["name", "n"])
 
-    names = docs.select("text").mapInArrow(emit, "name long, n int")
+    names = docs.select("text").mapInArrow(lean(emit), "name long, n int")
     again = written(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
     n = max(1, again.count())
     n_blocks = min(-(-n * FILTER_BITS_EACH // BLOCK_BITS), FILTER_BITS // BLOCK_BITS)
@@ -277,8 +277,8 @@ def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFra
             yield flush()
 
     kind = "route long, check int, doc long, ord long, start int, n int"
-    rows = docs.mapInArrow(emit, kind).repartition(width(spark), "route").sortWithinPartitions("route", "check", "doc", "ord", "start")
-    return rows.mapInArrow(settle, "doc long, ord long, start int, n int")
+    rows = docs.mapInArrow(lean(emit), kind).repartition(width(spark), "route").sortWithinPartitions("route", "check", "doc", "ord", "start")
+    return rows.mapInArrow(lean(settle), "doc long, ord long, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
@@ -355,4 +355,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
 
     types = {"n_words": "long", "n_removed": "long", "removed": "array<array<bigint>>"}
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {types.get(c, 'string')}" for c in made]
-    return dealt.mapInArrow(run, ", ".join(schema))
+    return dealt.mapInArrow(lean(run), ", ".join(schema))
