@@ -12,15 +12,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.bpe_tables import SPACE_CLASS, Merges, Remembered, library
-from tablewright.llm.storage import small_batches
+from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
+from tablewright.llm.storage import lean, small_batches
 
 NEVER = 1 << 62
-#: The vocabulary's own pattern, for lower-cased ASCII text.
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: The vocabulary's own pattern, for lower-cased text of ASCII and western letters.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
 SPACES = re.compile(f"[{SPACE_CLASS}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -43,59 +44,74 @@ def merge_all(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     if tree[1] == NEVER:
         return symbols
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        while node > 1:
-            a, b = tree[node], tree[node ^ 1]
-            node >>= 1
-            if b < a:
-                a = b
-            if tree[node] == a:
-                return
-            tree[node] = a
-
     while (top := tree[1]) != NEVER:
         i = top & 0xFFFFFFFF
         j = after[i]
         symbols[i] = merged = get(symbols[i] << 20 | symbols[j]) & 0xFFFFF
         symbols[j] = -1
         after[i] = k = after[j]
+        # Three leaves change: the merged pair's, that of the symbol taken in, and the pair that ends in the merged one.
+        low, high = size + i, size + j
         if j < n - 1:
-            put(j, NEVER)
-        found = None
+            tree[high] = NEVER
+        else:
+            high = low
         if k < n:
             before[k] = i
             found = get(merged << 20 | symbols[k])
-        if i < n - 1:
-            put(i, NEVER if found is None else found >> 20 << 32 | i)
+            tree[low] = NEVER if found is None else found >> 20 << 32 | i
+        else:
+            tree[low] = NEVER
+        middle = low
         if (h := before[i]) >= 0:
             found = get(symbols[h] << 20 | merged)
-            put(h, NEVER if found is None else found >> 20 << 32 | h)
+            low = size + h
+            tree[low] = NEVER if found is None else found >> 20 << 32 | h
+        while low > 1:
+            low >>= 1
+            middle >>= 1
+            high >>= 1
+            a, b = tree[2 * low], tree[2 * low + 1]
+            tree[low] = a if a < b else b
+            if middle != low:
+                a, b = tree[2 * middle], tree[2 * middle + 1]
+                tree[middle] = a if a < b else b
+            if high != middle:
+                a, b = tree[2 * high], tree[2 * high + 1]
+                tree[high] = a if a < b else b
     return [s for s in symbols if s >= 0]
 
 
 class Codec:
-    """Encoding and decoding of whole texts under one vocabulary, kept by a Python worker."""
+    """Encoding and decoding of whole texts under one vocabulary, kept by a Python worker.
+
+    Parts of a text are (number of tokens, ids in decimal, decoded text), both joined by a space.
+    """
 
     def __init__(self, path: str):
         self.merges, self.path = Merges(path), path
-        self.piece = Remembered(lambda piece: merge_all(self.merges.symbols(piece), self.merges.pairs))
+        self.piece = Remembered(self.of_piece)
         self.word = Remembered(self.of_word)
         self.special = {s: (1, str(i), s) for s, i in self.merges.specials.items()}
+        self.spelt = {i: str(i) for i in self.merges.names}
+
+    def of_piece(self, piece: str) -> tuple[int, str, str]:
+        ids = merge_all(self.merges.symbols(piece), self.merges.pairs)
+        spelt = self.spelt
+        return len(ids), " ".join([spelt[i] for i in ids]), self.decode(ids)
 
-    def ids_of_word(self, word: str) -> list[int]:
+    def of_word(self, word: str) -> tuple[int, str, str]:
         if word.isascii():
             pieces = PRETOKEN.findall(word.lower())
+        elif SIMPLE.fullmatch(word):
+            pieces = [p.translate(self.merges.spelling) for p in PRETOKEN.findall(word.lower())]
         else:
             tokenizer = library(self.path)
             pieces = [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))]
-        return self.piece[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in self.piece[piece]]
-
-    def of_word(self, word: str) -> tuple[int, str, str]:
-        ids = self.ids_of_word(word)
-        return len(ids), " ".join([str(i) for i in ids]), self.decode(ids)
+        if len(pieces) == 1:
+            return self.piece[pieces[0]]
+        parts = [self.piece[p] for p in pieces]
+        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by a space: the vocabulary has no decoder of its own. Special tokens stay."""
@@ -103,18 +119,23 @@ class Codec:
         return " ".join([names[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.parts(text) if ids for x in ids.split(" ")]
+        return [int(x) for x in self.whole(text)[1].split()]
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(tokens, ids, decoded text) of each word and special string."""
-        out = []
+    def whole(self, text: str) -> tuple[int, str, str]:
+        """The whole text as one part."""
+        parts: list[tuple[int, str, str]] = []
         for segment, special in self.merges.segments(text):
             if special:
-                out.append(self.special[segment])
+                parts.append(self.special[segment])
             else:
-                words = SPACES.split(segment) if SEPARATORS.search(segment) else segment.split()
-                out += [self.word[w] for w in words if w]
-        return out
+                words = [w for w in SPACES.split(segment) if w] if SEPARATORS.search(segment) else segment.split()
+                parts += map(self.word.__getitem__, words)
+        if not parts:
+            return 0, "", ""
+        counts, ids, plain = zip(*parts)
+        if 0 in counts:  # a word of which nothing is left
+            counts, ids, plain = zip(*[p for p in parts if p[0]] or [(0, "", "")])
+        return sum(counts), " ".join(ids), " ".join(plain)
 
 
 @lru_cache(maxsize=2)
@@ -138,14 +159,12 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         for batch in batches:
             n, digest, plain_digest, ids, decoded = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                parts = bpe.parts(text) if text else []
-                spelt = " ".join([p[1] for p in parts if p[0]])
-                plain = " ".join([p[2] for p in parts if p[0]])
-                n.append(sum([p[0] for p in parts]))
+                count, spelt, plain = bpe.whole(text) if text else (0, "", "")
+                n.append(count)
                 digest.append(hashlib.sha256(spelt.encode()).hexdigest())
                 plain_digest.append(hashlib.sha256(plain.encode()).hexdigest())
                 if texts:
-                    ids.append([int(x) for x in spelt.split()])
+                    ids.append(np.array(spelt.split(), np.int32) if spelt else np.zeros(0, np.int32))
                     decoded.append(plain)
             out = [pa.array(n, pa.int64()), pa.array(digest), pa.array(plain_digest)]
             if texts:
@@ -155,4 +174,4 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
     rows = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
     types = {"n_tokens": "long", "ids": "array<int>"}
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} {types.get(c, 'string')}" for c in made]
-    return rows.mapInArrow(run, ", ".join(schema))
+    return rows.mapInArrow(lean(run), ", ".join(schema))

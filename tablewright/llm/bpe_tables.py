@@ -9,8 +9,12 @@ from functools import lru_cache
 
 #: White space as the tokenizer libraries' patterns see it (fixed values: Unicode's White_Space property).
 SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters beyond ASCII that are one character in any normal form and lower-case one by one.
+WESTERN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+#: Texts of ASCII and those letters only are split by this module's patterns, others by the library's own tables.
+SIMPLE = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
 #: Pieces remembered by a Python worker, and the longest piece that is worth remembering.
-CACHED, CACHED_CHARS = 500_000, 48
+CACHED, CACHED_CHARS = 300_000, 40
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +48,7 @@ class Merges:
         self.last = {s: vocab[s + self.suffix] for s in byte_symbols()}
         for b, s in enumerate(byte_symbols()[:128]):  # ASCII may also be spelt as it is
             self.first[chr(b)], self.last[chr(b)] = self.first[s], self.last[s]
+        self.spelling = {ord(c): "".join(byte_symbols()[b] for b in c.encode()) for c in WESTERN}
         found = [re.escape(s) for s in sorted(self.specials, key=len, reverse=True)]
         self.special_pattern = re.compile("(" + "|".join(found) + ")") if found else None
 

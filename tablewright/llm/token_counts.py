@@ -16,12 +16,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.bpe_tables import SPACE_CLASS, Merges, Remembered, library
+from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
 from tablewright.llm.storage import small_batches
 
 LIMIT = 1024
-#: The vocabulary's own pattern, for ASCII text.
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: The vocabulary's own pattern, for text of ASCII and western letters.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
 #: A space that may belong to a longer run of white space.
 RUN = re.compile(f" (?:[{SPACE_CLASS}]|\\Z)")
 
@@ -79,6 +79,8 @@ class Counter:
     def of_chunk(self, chunk: str) -> int:
         if chunk.isascii():
             return sum([self.piece[x] for x in PRETOKEN.findall(chunk)])
+        if SIMPLE.fullmatch(chunk):
+            return sum([self.piece[x.translate(self.merges.spelling)] for x in PRETOKEN.findall(chunk)])
         return sum(self.piece[x] for x, _ in library(self.path).pre_tokenizer.pre_tokenize_str(chunk))
 
     def count(self, text: str) -> int:
