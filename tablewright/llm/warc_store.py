@@ -65,9 +65,9 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
         F.lit(CRLF),
     )
     told.withColumn("revisit", revisit).select("sha256", header.alias("header")).write.parquet(f"{path}/headers")
-    # One row per distinct payload: dealt once, by page_id, so copies of one payload spread out; a payload without any id is dealt apart.
+    # One row per distinct payload: dealt once, by page_id and digest, so copies of one payload spread out; a payload without any id is dealt apart.
     held = first.where("first is not null").select(F.col("first").alias("page_id"), "sha256")
-    stored = rows.select("page_id", "payload").join(held, "page_id").where(F.sha2("payload", 256) == F.col("sha256")).dropDuplicates(["page_id", "sha256"])
+    stored = rows.select("page_id", F.sha2("payload", 256).alias("sha256"), "payload").join(held, ["page_id", "sha256"]).dropDuplicates(["page_id", "sha256"])
     nameless = rows.where("page_id is null").select(F.sha2("payload", 256).alias("sha256"), "payload").join(first.where("first is null").select("sha256"), "sha256").groupBy("sha256").agg(F.first("payload").alias("payload"))
     stored.select("sha256", "payload").unionByName(nameless).write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
