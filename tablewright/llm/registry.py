@@ -86,5 +86,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words between ASCII white space; every 20-word window that also starts earlier covers its words.
+OP1_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text, row_number() over () as row from documents),
+words as (select row, doc_id, text, list_filter(regexp_split_to_array(text, '[\x09-\x0D ]+'), lambda w: w <> '') as w from docs),
+windows as (select row, doc_id, unnest(range(1, len(w) - 18)) as s, w from words where len(w) >= 20),
+hashed as (select row, doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) as h from windows),
+later as (select row, s from hashed qualify (doc_id, s) > (min(struct_pack(a := doc_id, b := s)) over (partition by h).a, min(struct_pack(a := doc_id, b := s)) over (partition by h).b)),
+gone as (select distinct row, unnest(range(s, s + 20)) as i from later),
+kept as (select x.row, string_agg(x.word, ' ' order by x.i) filter (g.i is null) as text, count(g.i) as n_removed
+  from (select row, unnest(w) as word, generate_subscripts(w, 1) as i from words) x left join gone g on g.row = x.row and g.i = x.i group by x.row)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k using (row)"""
+OP2_SQL = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+told as (select *, lag(role, 1, '') over (partition by conv_id order by turn, role, text) as before from turns),
+judged as (select *, (before, role) in (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) as fine from told)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::bigint as formatted_chars,
+  bool_and(fine) and arg_max(role, struct_pack(turn, role, text)) = 'assistant' as valid
+from judged group by conv_id"""
+OP8_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html, row_number() over () as row from pages),
+d as (select page_id, row, strlen(html)::bigint as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1) for i in range(32)], '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash with functions that SQL lacks, tokenize, train a model or iterate: the tests hold them against brute force."""
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_warc_archive": OP8_SQL}
