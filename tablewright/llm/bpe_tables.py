@@ -14,7 +14,7 @@ WESTERN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8,
 #: Texts of ASCII and those letters only are split by this module's patterns, others by the library's own tables.
 SIMPLE = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
 #: Pieces remembered by a Python worker, and the longest piece that is worth remembering.
-CACHED, CACHED_CHARS = 300_000, 40
+CACHED, CACHED_CHARS = 450_000, 40
 
 
 @lru_cache(maxsize=1)
