@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.storage import lean, small_batches, width, written
@@ -296,7 +296,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """(doc_id, component_id) of every row with an id: groups of equal texts and of texts alike over shingles of words.
 
     Candidates are the components of two fingerprints of distinct word pairs within PAIR_THRESHOLD bits, either of
-    which misses about one in a hundred alike pairs of ordinary texts; within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of MEMBERS,
+    which misses about one in a hundred alike pairs of ordinary texts; within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of about MEMBERS,
     each of which emits a spanning forest of its links. Words are lower-cased (A-Z). Blank and null texts are equal.
     component_id is the smallest doc_id of the group; rows without doc_id are left out.
     """
@@ -307,8 +307,9 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     roots = components(near[0].unionByName(near[1]).unionByName(texts.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))))
     classed = written(texts.join(roots, texts.fp == roots.id, "left").select("rep", F.coalesce("root", "fp").alias("class")), "classes")
     sizes = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = classed.join(sizes, "class").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("class").orderBy("rep")) - 1) / MEMBERS).cast("int"))
-    members = written(members.select("class", "rep", "block", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "members")
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    members = classed.join(sizes, "class").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = written(members.select("class", "rep", "block", "blocks"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,8 +322,8 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
                 own.append(np.unique(one >> np.uint64(1)).astype(np.int64).tobytes())
             yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
 
-    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body")).where("rep is not null")
-    # Rows that repeat an id with other texts: each text has its own smallest id, so the id's texts all stand for it.
+    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null")
+    # Rows that repeat an id with other texts stand and fall together: the id's texts are all compared under it.
     found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(lean(sets), "class long, rep long, block int, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
@@ -357,4 +358,4 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEX
     """``docs`` with one row of each group of :func:`alike_groups`: that of the smallest doc_id. Rows without id stay."""
     groups = alike_groups(docs, similarity, shingle)
     gone = written(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
