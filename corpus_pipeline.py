@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe_codec, decontaminate, quality_knn, simhash, storage, substring_dedup
+from tablewright.llm import bpe_codec, decontaminate, name_filter, quality_knn, simhash, storage, substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,8 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = storage.written(found.select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return name_filter.without(docs, storage.written(found.select(F.col("doc_id").cast("long").alias("id")).distinct(), "contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

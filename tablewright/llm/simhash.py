@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.components import components
+from tablewright.llm.name_filter import only, without
 from tablewright.llm.storage import lean, small_batches, width, written
 from tablewright.llm.words import mix, sequence_hashes, word_hashes
 
@@ -322,7 +323,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
                 own.append(np.unique(one >> np.uint64(1)).astype(np.int64).tobytes())
             yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
 
-    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null")
+    bodies = only(docs, members.select(F.col("rep").alias("id"))).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null")
     # Rows that repeat an id with other texts stand and fall together: the id's texts are all compared under it.
     found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(lean(sets), "class long, rep long, block int, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -357,5 +358,5 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of :func:`alike_groups`: that of the smallest doc_id. Rows without id stay."""
     groups = alike_groups(docs, similarity, shingle)
-    gone = written(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id")
+    return without(docs, written(gone.select(F.col("doc_id").alias("id")), "gone"))

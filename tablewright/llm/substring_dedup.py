@@ -23,16 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.llm.name_filter import NameFilter, filter_of
 from tablewright.llm.storage import lean, small_batches, width, written
 from tablewright.llm.words import U64, mix, sequence_hashes, word_hashes
 
 WINDOW = 20
 ROUNDS = 7
 HASH_BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2127599BF4325C37
-#: Bits of the filter for each repeated name, and bits in all at most (64 MB).
-FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 29
-#: Bits of a filter block; a name's block and its two bits come from the name.
-BLOCK_BITS = 1 << 15
 
 
 def _least_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -112,25 +109,6 @@ def _order(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
 
 
-def _blocks(names: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    block = (names >> U64(30)) % U64(n_blocks)
-    return block.astype(np.int64), (names & U64(BLOCK_BITS - 1)).astype(np.int64), (names >> U64(15) & U64(BLOCK_BITS - 1)).astype(np.int64)
-
-
-class NameFilter:
-    """Which names may be repeated: a blocked Bloom filter of at most FILTER_BITS bits."""
-
-    def __init__(self, n_blocks: int):
-        self.n_blocks, self.bits = n_blocks, np.zeros(n_blocks * (BLOCK_BITS // 8), np.uint8)
-
-    def may_hold(self, names: np.ndarray) -> np.ndarray:
-        block, a, b = _blocks(names, self.n_blocks)
-        hit = np.ones(len(names), bool)
-        for bit in (a, b):
-            hit &= (self.bits[block * (BLOCK_BITS // 8) + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-        return hit
-
-
 def repeated_names(docs: DataFrame, window: int = WINDOW) -> NameFilter:
     """The filter of anchors that more than one start of a window may have."""
     spark = docs.sparkSession
@@ -151,34 +129,7 @@ def repeated_names(docs: DataFrame, window: int = WINDOW) -> NameFilter:
 
     names = docs.select("text").mapInArrow(lean(emit), "name long, n int")
     again = written(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
-    n = max(1, again.count())
-    n_blocks = min(-(-n * FILTER_BITS_EACH // BLOCK_BITS), FILTER_BITS // BLOCK_BITS)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, a, b = _blocks(batch.column(0).to_numpy().view(U64), n_blocks)
-            yield pa.record_batch([pa.array(block.astype(np.int32)), pa.array((a << 16 | b).astype(np.int32))], names=["block", "bits"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.argsort(block, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                if len(part):
-                    own = held.setdefault(int(block[part[0]]), np.zeros(BLOCK_BITS, bool))
-                    own[bits[part] >> 16] = True
-                    own[bits[part] & 0xFFFF] = True
-        yield pa.record_batch(
-            [pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["block", "bytes"]
-        )
-
-    found = NameFilter(n_blocks)
-    size = BLOCK_BITS // 8
-    dealt = again.mapInArrow(number, "block int, bits int").repartition(width(spark), "block")
-    for row in dealt.mapInArrow(fill, "block int, bytes binary").collect():
-        found.bits[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bytes, np.uint8)
-    return found
+    return filter_of(again)
 
 
 def _runs(doc: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
