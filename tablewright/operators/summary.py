@@ -122,6 +122,17 @@ def _representative(df: DataFrame, ops: Sequence[Op], rid: str, narm: bool, sepa
     return F.greatest(*candidates) if len(candidates) > 1 else candidates[0]
 
 
+#: Operations that two map-side combined aggregates compute: first by value, then by group.
+COUNTED = {"mode": -1, "antimode": 1}
+
+
+def _commonest(df: DataFrame, group: list[str], o: Op, narm: bool, separator: str) -> DataFrame:
+    """Group columns and the value that occurs most (or least) often, the smallest of several; no group is collected."""
+    value = _Samples(df, None, narm, ",", False, separator)(o.fields[0], False).number
+    counts = df.groupBy(*group, value.alias("_value")).agg(F.count("*").alias("_n")).where("_value is not null")
+    return counts.groupBy(*group).agg(F.min_by("_value", F.struct(F.col("_n") * COUNTED[o.name], F.col("_value"))).alias(o.label))
+
+
 def summarise(
     df: DataFrame,
     ops: Sequence[Op],
@@ -143,24 +154,30 @@ def summarise(
     """
     columns = df.columns
     df = parsed(df, ops, narm, separator)
-    made = aggregates(df, ops, rid, narm, delimiter, ignore_case, separator)
+    made = aggregates(df, [o for o in ops if o.name not in COUNTED], rid, narm, delimiter, ignore_case, separator)
     if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED for o in ops)) and rid is None:
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
     shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(f"_s{i}") for i, k in enumerate(keys)]
     extra = [_representative(df, ops, rid, narm, separator).alias("_rep")] if full else []
     if not keys:
-        result = df.agg(F.count("*").alias("_n"), *extra, *made).where("_n > 0").drop("_n")
+        df, by = df.withColumn("_g0", F.lit(0)), ["_g0"]
     elif sort:
-        grouped = df.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)])
-        result = grouped.agg(*shown, *extra, *made).orderBy(*[f"_g{i}" for i in range(len(keys))])
+        by = [f"_g{i}" for i in range(len(keys))]
+        df = df.withColumns(dict(zip(by, group)))
     else:
-        runs = islands(df, group, rid)
-        result = runs.groupBy("_gid").agg(*shown, *extra, *made).orderBy("_gid")
+        df, by = islands(df, group, rid), ["_gid"]
+    result = df.groupBy(*by).agg(F.count("*").alias("_count"), *shown, *extra, *made)
+    for o in ops:
+        if o.name in COUNTED:
+            found = _commonest(df, by, o, narm, separator)
+            same = [result[b].eqNullSafe(found[b]) for b in by]
+            result = result.join(found, same, "left").select(*[result[c] for c in result.columns], finish(o.name, found[o.label]).alias(o.label))
+    if keys:
+        result = result.orderBy(*by)
     names = [o.label for o in ops]
     if full:
         rows = df.select(quoted(rid).alias("_rep"), F.struct(*[quoted(c) for c in columns]).alias("_row"))
-        order = [c for c in result.columns if c.startswith("_g")]
-        joined = result.join(rows, "_rep").orderBy(*order or ["_rep"])
-        return joined.select("_row.*", *[quoted(n) for n in names])
+        joined = result.join(rows, "_rep")
+        return (joined.orderBy(*by) if keys else joined).select("_row.*", *[quoted(n) for n in names])
     return result.select(*[F.col(f"_s{i}").alias(k) for i, k in enumerate(keys)], *[quoted(n) for n in names])
