@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 U64 = np.uint64
 #: Odd multipliers (fixed values: the golden ratio and the finaliser constants of a public 64-bit mixer).
@@ -20,21 +21,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@lru_cache(maxsize=1)
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte."""
+    return mix(np.arange(1, 257, dtype=U64) * STEP)
+
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse modulo 2**64, at least n of each; kept by a worker up to its longest batch."""
+    if not _powers or len(_powers["up"]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for name, factor in (("up", int(STEP)), ("down", pow(int(STEP), -1, 1 << 64))):
+            own = np.full(size, factor, U64)
+            own[0] = 1
+            _powers[name] = np.multiply.accumulate(own)
+    return _powers["up"], _powers["down"]
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, start of each text's words and the end): words lie between ASCII white space; null: none."""
+    """(hash of each word, start of each text's words and the end): words lie between ASCII white space; null: none.
+
+    A word's hash is a polynomial of its bytes' values modulo 2**64, from running sums over the whole batch, mixed with
+    its length.
+    """
+    raw = pc.fill_null(texts, "").cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    if not len(offsets) or offsets[-1] == offsets[0]:
+        return np.zeros(0, U64), np.zeros(len(raw) + 1, np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = len(data)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    # A word begins after white space or at its text's beginning.
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    values = _byte_values()
     if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat = lists.flatten()
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    kept = np.concatenate([[0], np.cumsum(some)])
-    coded = flat.filter(pa.array(some)).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    unique = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), U64, len(coded.dictionary))
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    return (unique[codes] if len(codes) else np.zeros(0, U64)), kept[bounds]
+        values = values.copy()
+        values[65:91] = values[97:123]
+    up, down = _power_tables(n)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(values[data] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)), np.searchsorted(begin, offsets)
 
 
 def sequence_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
