@@ -28,7 +28,7 @@ from tablewright.llm.storage import lean, small_batches, width, written
 from tablewright.llm.words import U64, mix, sequence_hashes, word_hashes
 
 WINDOW = 20
-ROUNDS = 7
+ROUNDS = 6
 HASH_BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2127599BF4325C37
 
 
@@ -106,7 +106,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _order(text: str | None) -> int:
     """Sets rows of one doc_id apart: equal for equal texts."""
-    return xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
+    return xxhash.xxh3_64_intdigest((text or "").encode()) >> 34
 
 
 def repeated_names(docs: DataFrame, window: int = WINDOW) -> NameFilter:
@@ -144,7 +144,7 @@ def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFra
     """(doc, ord, start, n): stretches of n window starts whose words also start earlier in the corpus."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(names)
-    fields = ["route", "check", "doc", "ord", "start", "n"]
+    fields = ["route", "doc", "place", "more"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
@@ -174,23 +174,22 @@ def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFra
                 later[1:] = same
             first, again = by[~later], np.sort(by[later])
             # An equal (document, place) of a repeated row is no earlier start: it stays among the firsts.
-            yield pa.record_batch(
-                [pa.array(route[first].view(np.int64)), pa.array(check[first].astype(np.int32)), pa.array(doc[first]), pa.array(order[first]), pa.array(start[first].astype(np.int32)), pa.array(np.zeros(len(first), np.int32))],
-                names=fields,
-            )
+            yield packed(route[first], check[first], doc[first], order[first], start[first], np.zeros(len(first), np.int64))
             if len(again):
                 by = again[np.lexsort((start[again], order[again], doc[again]))]
                 at, n = _runs(doc[by], order[by], start[by])
                 by = by[at]
-                yield pa.record_batch(
-                    [pa.array(mix(route[by]).view(np.int64)), pa.array(np.full(len(by), -1, np.int32)), pa.array(doc[by]), pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=fields,
-                )
+                yield packed(mix(route[by]), np.full(len(by), -1), doc[by], order[by], start[by], n)
+
+    def packed(route, check, doc, order, start, n) -> pa.RecordBatch:
+        """Rows to sort by route, document and place: place is the text's order and the start, more is check and n."""
+        return pa.record_batch([pa.array(route.view(np.int64)), pa.array(doc), pa.array(order << 32 | start), pa.array(check << 32 | n)], names=fields)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by hash, check, document and place: those of a hash after its first place are repeats."""
+        """Rows by hash, document and place: those of a hash after its first place are repeats."""
         held: list[tuple[np.ndarray, ...]] = []
-        rows, last = 0, None  # last: (route, check, doc, ord, start) that came first for the current hash
+        rows = 0
+        last = None  # (route, check, doc, place) that came first for the current hash
 
         def flush() -> pa.RecordBatch:
             doc, order, start, n = (np.concatenate(x) for x in zip(*held))
@@ -203,21 +202,34 @@ def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFra
             return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["doc", "ord", "start", "n"])
 
         for batch in batches:
-            route, check, doc, order, start, n = (batch.column(c).to_numpy() for c in fields)
+            route, doc, place, more = (batch.column(c).to_numpy() for c in fields)
             if not len(route):
                 continue
+            check, n = more >> 32, more & 0xFFFFFFFF
             told = n > 0
+            if last is not None and last[0] == route[0]:
+                # The hash goes on from the batch before: its first place counts as a row here.
+                route, doc, place, check = (np.concatenate([[x], y]) for x, y in zip((last[0], last[2], last[3], last[1]), (route, doc, place, check)))
+                n, told = np.concatenate([[0], n]), np.concatenate([[False], told])
+                carried = 1
+            else:
+                carried = 0
+            # Windows of one hash whose checks differ are different: such a hash's rows are sorted by check, too.
             new = np.ones(len(route), bool)
-            new[1:] = (route[1:] != route[:-1]) | (check[1:] != check[:-1])
-            if last is not None:
-                new[0] = (route[0], check[0]) != last[:2]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(route)), -1))
-            inside = head >= 0
-            h = np.maximum(head, 0)
-            first = [np.where(inside, x[h], last[2 + k] if last is not None else 0) for k, x in enumerate((doc, order, start))]
-            later = ~told & ((doc != first[0]) | (order != first[1]) | (start != first[2]))
-            last = (route[-1], check[-1], first[0][-1], first[1][-1], first[2][-1])
+            new[1:] = route[1:] != route[:-1]
+            if ((check[1:] != check[:-1]) & ~new[1:]).any():
+                by = np.lexsort((place, doc, check, route))
+                route, doc, place, check, n, told = (x[by] for x in (route, doc, place, check, n, told))
+                new[1:] = (route[1:] != route[:-1]) | (check[1:] != check[:-1])
+                carried_at = np.flatnonzero(by == 0) if carried else np.zeros(0, np.int64)
+            else:
+                carried_at = np.zeros(carried, np.int64)
+            head = np.maximum.accumulate(np.where(new, np.arange(len(route)), 0))
+            later = ~told & ((doc != doc[head]) | (place != place[head]))
+            last = (route[-1], check[-1], doc[head[-1]], place[head[-1]])
             out = told | later
+            out[carried_at] = False
+            order, start = place >> 32, (place & 0xFFFFFFFF).astype(np.int32)
             if out.any():
                 held.append((doc[out], order[out], start[out], np.where(told, n, 1)[out].astype(np.int32)))
                 rows += int(out.sum())
@@ -227,8 +239,8 @@ def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFra
         if held:
             yield flush()
 
-    kind = "route long, check int, doc long, ord long, start int, n int"
-    rows = docs.mapInArrow(lean(emit), kind).repartition(width(spark), "route").sortWithinPartitions("route", "check", "doc", "ord", "start")
+    kind = "route long, doc long, place long, more long"
+    rows = docs.mapInArrow(lean(emit), kind).repartition(width(spark), "route").sortWithinPartitions("route", "doc", "place")
     return rows.mapInArrow(lean(settle), "doc long, ord long, start int, n int")
 
 
