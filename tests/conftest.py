@@ -13,4 +13,5 @@ def spark():
 
     session = local_session(app="tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
