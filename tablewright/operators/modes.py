@@ -89,8 +89,9 @@ def top(df: DataFrame, field: str, n: int, rid: str, bottom: bool = False, group
     if n < 1:
         raise UserError("a selection takes one record or more")
     value = number(quoted(field), df.schema[field].dataType, field)
-    ranked = F.when(F.isnan(value), F.raise_error(F.lit(f"a value of {field} is NaN and cannot be ranked")).cast("double")).otherwise(value)
-    rows = df.withColumn("_value", ranked)
+    # A filter, so that every row is looked at whatever the selection needs.
+    unranked = F.raise_error(F.lit(f"a value of {field} is NaN and cannot be ranked")).cast("boolean")
+    rows = df.where(F.when(F.isnan(value), unranked).otherwise(F.lit(True))).withColumn("_value", value)
     order = [F.col("_value").asc() if bottom else F.col("_value").desc(), quoted(rid)]
     if not group:
         return rows.orderBy(*order).limit(n).drop("_value")
