@@ -39,12 +39,12 @@ class Sample:
     def in_order(self, value: Column) -> Column:
         """Present values as an array in row order."""
         pairs = F.collect_list(F.when(value.isNotNull(), F.struct(self.order.alias("r"), value.alias("v"))))
-        return F.transform(F.array_sort(pairs), lambda p: p["v"])
+        return F.transform(F.sort_array(pairs), lambda p: p["v"])
 
     @property
     def ascending(self) -> Column:
         """Present numbers as a sorted array."""
-        return F.array_sort(F.collect_list(self.number))
+        return F.sort_array(F.collect_list(self.number))
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,11 @@ class Aggregate:
     default: object = None
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _quantile(p: float) -> Callable[[Sample], Column]:
     return lambda s: F.percentile(s.number, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[int(p * 4) - 1]
 
@@ -107,7 +112,7 @@ def _trimmed(s: Sample, share: float) -> Column:
         kept = F.slice(values, cut + 1, n - 2 * cut)
         return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
 
-    return mean(s.ascending)
+    return _let(s.ascending, mean)
 
 
 def _runs(values: Column, better: Callable[[Column, Column], Column]) -> Column:
@@ -138,11 +143,10 @@ def _middle(values: Column) -> Column:
 
 
 def _mad(scale: float) -> Callable[[Sample], Column]:
-    def build(s: Sample) -> Column:
-        values = s.ascending
-        return _middle(F.array_sort(F.transform(values, lambda x: F.abs(x - _middle(values))))) * scale
+    def spread(values: Column) -> Column:
+        return _let(_middle(values), lambda m: _let(F.sort_array(F.transform(values, lambda x: F.abs(x - m))), _middle))
 
-    return build
+    return lambda s: _let(s.ascending, spread) * scale
 
 
 def _at_least(n: Column, least: int, value: Column) -> Column:
@@ -187,9 +191,9 @@ def _dpo(s: Sample) -> Column:
 
 def _unique(s: Sample) -> Column:
     if not s.ignore_case:
-        return F.array_join(F.array_sort(F.collect_set(s.text)), s.delimiter)
+        return F.array_join(F.sort_array(F.collect_set(s.text)), s.delimiter)
     entry = F.when(s.text.isNotNull(), F.struct(fold(s.text).alias("f"), s.order.alias("r"), s.text.alias("t")))
-    every = F.array_sort(F.collect_list(entry))
+    every = F.sort_array(F.collect_list(entry))
     firsts = F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["f"] != x["f"]))
     return F.array_join(F.transform(firsts, lambda x: x["t"]), s.delimiter)
 
