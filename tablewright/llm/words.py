@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+STRETCH = 1 << 20
 #: Odd multipliers (fixed values: the golden ratio and the finaliser constants of a public 64-bit mixer).
 STEP = U64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -31,23 +33,39 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of STEP and of its inverse modulo 2**64, at least n of each; kept by a worker up to its longest batch."""
+    """Powers of STEP and of its inverse modulo 2**64, at least n of each; those of a stretch are kept by a worker."""
     if not _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        made = {}
         for name, factor in (("up", int(STEP)), ("down", pow(int(STEP), -1, 1 << 64))):
-            own = np.full(size, factor, U64)
+            own = np.full(max(n, STRETCH), factor, U64)
             own[0] = 1
-            _powers[name] = np.multiply.accumulate(own)
+            made[name] = np.multiply.accumulate(own)
+        if n > 2 * STRETCH:  # one very long text
+            return made["up"], made["down"]
+        _powers.update(made)
     return _powers["up"], _powers["down"]
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, start of each text's words and the end), as below, for stretches of about STRETCH bytes."""
+    raw = pc.fill_null(texts, "").cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // STRETCH)) + 1).tolist(), len(raw)]
+    hashes, starts, before = [], [], 0
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        own, at = _word_hashes(raw.slice(s, e - s), lower)
+        hashes.append(own)
+        starts.append(at[:-1] + before)
+        before += len(own)
+    return np.concatenate([np.zeros(0, U64), *hashes]), np.concatenate([np.zeros(0, np.int64), *starts, [before]]).astype(np.int64)
+
+
+def _word_hashes(raw: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, start of each text's words and the end): words lie between ASCII white space; null: none.
 
     A word's hash is a polynomial of its bytes' values modulo 2**64, from running sums over the whole batch, mixed with
     its length.
     """
-    raw = pc.fill_null(texts, "").cast(pa.binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
     if not len(offsets) or offsets[-1] == offsets[0]:
         return np.zeros(0, U64), np.zeros(len(raw) + 1, np.int64)
