@@ -64,11 +64,12 @@ def _majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False, sketch: int | None = None) -> DataFrame:
     """(doc_id, fp, fp2, same) of every row; a null or blank text has fp 0. fp is the unsigned fingerprint's bits as a long.
 
     ``distinct`` takes each shingle once. fp2 is a second fingerprint by other hashes of the same shingles. same is a
-    hash of the text, null and blank texts alike.
+    hash of the text, null and blank texts alike. ``sketch`` adds sketch, the :func:`minima` of the distinct shingles of
+    so many words (null for a null or blank text).
     """
     small_batches(docs.sparkSession)
 
@@ -86,10 +87,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False
                             others[i] = _majorities(mix(hashes), np.array([0]))[0]
                         same[i] = xxhash.xxh3_64_intdigest(raw)
                         fps[i] = _majorities(hashes, np.array([0]))[0]
-            yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others, same))], names=["doc_id", "fp", "fp2", "same"])
+            columns, names = [batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others, same))], ["doc_id", "fp", "fp2", "same"]
+            if sketch:
+                columns.append(pa.array([minima(x).tobytes() if len(x) else None for x in shingle_sets(batch.column(1), sketch)], pa.binary()))
+                names.append("sketch")
+            yield pa.record_batch(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lean(run), "doc_id long, fp long, fp2 long, same long"
+        lean(run), "doc_id long, fp long, fp2 long, same long" + (", sketch binary" if sketch else "")
     )
 
 
@@ -268,6 +273,82 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 PAIR_SHINGLE, PAIR_THRESHOLD, MEMBERS = 2, 9, 512
 TEXT_SHINGLE, SIMILARITY = 5, 0.8
 SET_BASE = 0x3C79AC492BA7B653
+#: Sketches of BANDS x ROWS minima find what both fingerprints miss: sets of Jaccard similarity J share all of a band with
+#: probability J ** ROWS. Sketches that share a band are linked if AGREE minima or more are equal.
+BANDS, ROWS, AGREE = 28, 4, 68
+_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+_FLIPS, _FACTORS = ((_SEEDS[k :: 2] >> np.uint64(32)).astype(np.uint32)[:, None] for k in (0, 1))
+_FACTORS = _FACTORS | np.uint32(1)
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct hashes of its shingles; a shorter text is one shingle, a blank one has none."""
+    words, starts = word_hashes(texts, lower=True)
+    hashes = sequence_hashes(words, shingle, SET_BASE)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        n = e - s
+        one = hashes[s : e - shingle + 1] if n >= shingle else sequence_hashes(words[s:e], n, SET_BASE) if n else hashes[:0]
+        yield np.unique(one >> np.uint64(1))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each of BANDS x ROWS other hashes."""
+    own = (hashes >> np.uint64(20)).astype(np.uint32)
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for low in range(0, len(own), 1024):
+        np.minimum(out, ((own[low : low + 1024] ^ _FLIPS) * _FACTORS).min(axis=1), out=out)
+    return out
+
+
+def sketch_forest(fps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join whatever pairs of sketches with at least AGREE equal minima join."""
+    left, links = np.arange(len(fps)), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            i = frontier.pop()
+            close = (sketches[left] == sketches[i]).sum(axis=1) >= AGREE
+            links += [(int(fps[i]), int(fps[j])) for j in left[close]]
+            frontier += left[close].tolist()
+            left = left[~close]
+    return links
+
+
+def sketch_links(prints: DataFrame) -> DataFrame:
+    """(a, b) links of fingerprints ``prints(fp, sketch)`` whose sketches share a band and agree."""
+    spark = prints.sparkSession
+    own = written(prints.where("sketch is not null").select("fp", "sketch").distinct().withColumn("id", F.xxhash64("fp", "sketch")), "sketches")
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+                key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+                for k in range(ROWS):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+                ids = np.repeat(batch.column(0).to_numpy(), BANDS)
+                yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["band", "id"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, fps, sketches = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(fps) > 1 and (found := sketch_forest(np.array(fps, np.int64), np.frombuffer(b"".join(sketches), np.uint32).reshape(len(fps), -1))):
+                yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for k, fp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != band:
+                    yield from close()
+                    band, fps, sketches = k, [], []
+                fps.append(fp)
+                sketches.append(sketch)
+        yield from close()
+
+    filed = written(own.select("id", "sketch").mapInArrow(lean(bands), "band long, id long"), "bands")
+    shared = written(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    met = filed.join(shared, "band").join(own, "id").select("band", "fp", "sketch")
+    return met.repartition(width(spark), "band").sortWithinPartitions("band").mapInArrow(lean(compare), "a long, b long")
 
 
 def alike_links(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -296,16 +377,18 @@ def alike_links(ids: list[int], sets: list[np.ndarray], similarity: float) -> li
 def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
     """(doc_id, component_id) of every row with an id: groups of equal texts and of texts alike over shingles of words.
 
-    Candidates are the components of two fingerprints of distinct word pairs within PAIR_THRESHOLD bits, either of
-    which misses about one in a hundred alike pairs of ordinary texts; within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of about MEMBERS,
+    Candidates are the components of two fingerprints of distinct word pairs within PAIR_THRESHOLD bits and of sketches
+    of the shingles themselves (:func:`sketch_links`): where a block of text was added, cut off or replaced, the
+    fingerprints lie further apart. Within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of about MEMBERS,
     each of which emits a spanning forest of its links. Words are lower-cased (A-Z). Blank and null texts are equal.
     component_id is the smallest doc_id of the group; rows without doc_id are left out.
     """
     spark = docs.sparkSession
-    prints = written(fingerprints(docs.where("doc_id is not null"), PAIR_SHINGLE, distinct=True), "fingerprints")
+    prints = written(fingerprints(docs.where("doc_id is not null"), PAIR_SHINGLE, distinct=True, sketch=shingle), "fingerprints")
     texts = written(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "texts")
     near = [links(texts.select(F.col(c).alias("fp")).distinct(), PAIR_THRESHOLD) for c in ("fp", "fp2")]
-    roots = components(near[0].unionByName(near[1]).unionByName(texts.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))))
+    near.append(sketch_links(prints))
+    roots = components(near[0].unionByName(near[1]).unionByName(near[2]).unionByName(texts.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))))
     classed = written(texts.join(roots, texts.fp == roots.id, "left").select("rep", F.coalesce("root", "fp").alias("class")), "classes")
     sizes = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
@@ -314,13 +397,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, starts = word_hashes(batch.column("text"), lower=True)
-            hashes = sequence_hashes(words, shingle, SET_BASE)
-            own = []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                n = e - s
-                one = hashes[s : e - shingle + 1] if n >= shingle else sequence_hashes(words[s:e], n, SET_BASE) if n else hashes[:0]
-                own.append(np.unique(one >> np.uint64(1)).astype(np.int64).tobytes())
+            own = [x.astype(np.int64).tobytes() for x in shingle_sets(batch.column("text"), shingle)]
             yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
 
     bodies = only(docs, members.select(F.col("rep").alias("id"))).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null")

@@ -130,3 +130,20 @@ def test_groups_of_alike_texts(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([x for x, y in want if x == y] + [3])
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_block_edits_are_linked(spark):
+    base = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    base = list({" ".join(w[:400]).lower(): w[:400] for w in base if 60 <= len(w)}.values())[:200]
+    rows, pairs = [], []
+    for k, words in enumerate(base):
+        own = [f"own{k}x{i}" if i % 12 == 0 else w for i, w in enumerate(words)]
+        more = [f"more{k}x{i}" for i in range(len(own) // 6)]
+        for n, other in enumerate((own[: len(own) * 84 // 100], own + more, more[: len(more) // 2] + own[len(more) // 2 :])):
+            if 0.8 <= jaccard(" ".join(own), " ".join(other)) <= 0.87:
+                rows.append((1000 + 10 * k + n, " ".join(other)))
+                pairs.append((10_000 + k, rows[-1][0]))
+        rows.append((10_000 + k, " ".join(own)))
+    assert len(pairs) > 300
+    got = {r.doc_id: r.component_id for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
