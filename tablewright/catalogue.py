@@ -174,9 +174,17 @@ def narm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narm_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(_table(spark, sf_dir, "events").where("event_id < 400"))
+
+
+def narm_paired_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(_table(spark, sf_dir, "events"))
+
+
+def _paired(events: DataFrame) -> DataFrame:
     x = F.when(F.col("event_id") % 5 == 0, "NA").otherwise(F.col("event_id").cast("string"))
     y = F.when(F.col("event_id") % 5 == 1, "NA").otherwise((F.col("event_id") * 2).cast("string"))
-    df = _table(spark, sf_dir, "events").where("event_id < 400").select("event_id", x.alias("x"), y.alias("y"))
+    df = events.select("event_id", x.alias("x"), y.alias("y"))
     return summarise(df, [op("dotprod", "x", "y", alias="value")], rid="event_id", narm=True)
 
 
@@ -282,7 +290,7 @@ QUERIES: dict[str, Query] = {
 } | {
     f.__name__: f
     for f in (
-        row_debase64, grp_sorted, grp_multi_key, grp_whole, grp_adjacent, grp_ignore_case, grp_full, grp_high_cardinality, narm_summary, narm_paired, rand_seeded, tbl_rmdup, tbl_check, tbl_reverse,
+        row_debase64, grp_sorted, grp_multi_key, grp_whole, grp_adjacent, grp_ignore_case, grp_full, grp_high_cardinality, narm_summary, narm_paired, narm_paired_whole, rand_seeded, tbl_rmdup, tbl_check, tbl_reverse,
         tbl_transpose, tbl_noop, ct_count, ct_max, ct_unsorted, top_n, bottom_n, top_n_grouped, top_n_adjacent, health_counts, health_findings,
     )
 }
@@ -334,6 +342,7 @@ ORACLES: dict[str, str] = {
     "grp_high_cardinality": "select l_orderkey, count(*) as n, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) as lines from lineitem group by 1",
     "narm_summary": f"select event_type, count(v) as n, coalesce(round(sum(v), 4), 0) as total, coalesce(min(v), '-inf'::double) as least, coalesce(max(v), 'inf'::double) as most, coalesce(round(avg(v), 4), 'nan'::double) as average from {_MISSING_SQL} group by 1",
     "narm_paired": "select sum(x.v * y.v)::double as value from (select event_id as v, row_number() over (order by event_id) as r from events where event_id < 400 and event_id % 5 <> 0) x join (select event_id * 2 as v, row_number() over (order by event_id) as r from events where event_id < 400 and event_id % 5 <> 1) y using (r)",
+    "narm_paired_whole": "select sum(x.v * y.v)::double as value from (select event_id as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 0) x join (select event_id * 2 as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 1) y using (r)",
     "tbl_rmdup": "select arg_min(event_id, event_id) as event_id, user_id, arg_min(event_type, event_id) as event_type from events group by user_id",
     "tbl_check": "select count(*) as n_lines, 6::bigint as n_fields from orders",
     "tbl_reverse": "select n_regionkey, n_name, n_nationkey from nation",

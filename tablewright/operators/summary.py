@@ -11,7 +11,7 @@ from pyspark.sql.types import NumericType
 from tablewright.errors import UserError
 from tablewright.functions.values import fold, number, unless_missing
 from tablewright.operators.aggregates import ALIASES, ORDERED, REGISTRY, TEXTUAL, Sample, finish
-from tablewright.plans.order import islands
+from tablewright.plans.order import islands, places
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,29 @@ def _compacted(o: Op, pair: list[Sample]) -> Column:
     return value if o.name == "ppearson" else F.when(n > 1, value)
 
 
+def _compacts(o: Op, narm: bool) -> bool:
+    return narm and REGISTRY[o.name].arity == 2 and o.name != "wmean"
+
+
+def _paired(df: DataFrame, group: list[str], o: Op, rid: str, separator: str) -> DataFrame:
+    """Group columns and what :func:`_compacted` gives, by a join of the present values' places: no group is collected."""
+    samples = _Samples(df, rid, True, ",", False, separator)
+    sides = []
+    for f, c in zip(o.fields, "xy"):
+        own = df.select(*group, quoted(rid).alias("_rid"), samples(f, False).number.alias(c)).where(F.col(c).isNotNull())
+        sides.append(places(own, group, "_rid").select(*[F.col(g).alias(f"_{c}{i}") for i, g in enumerate(group)], F.col("_place").alias(f"_{c}"), c))
+    left, right = sides
+    same = [left["_x"] == right["_y"], *[left[f"_x{i}"].eqNullSafe(right[f"_y{i}"]) for i in range(len(group))]]
+    unequal = F.raise_error(F.lit(f"{o.label}: different number of items")).cast("double")
+    first = F.col("_x").isNotNull()
+    pairs = left.join(right, same, "full").select(
+        *[F.when(first, F.col(f"_x{i}")).otherwise(F.col(f"_y{i}")).alias(g) for i, g in enumerate(group)],
+        *[F.when(F.col("x").isNull() | F.col("y").isNull(), unequal).otherwise(F.col(c)).alias(c) for c in "xy"],
+    )
+    x, y = (Sample(F.col(c), F.col(c), None) for c in "xy")
+    return pairs.groupBy(*group).agg(REGISTRY[o.name].build(x, y).alias(o.label))
+
+
 def _representative(df: DataFrame, ops: Sequence[Op], rid: str, narm: bool, separator: str) -> Column:
     """The rid of the row that stands for a group: its first row, unless a later one became an operation's choice."""
     samples = _Samples(df, rid, narm, ",", False, separator)
@@ -154,8 +177,8 @@ def summarise(
     """
     columns = df.columns
     df = parsed(df, ops, narm, separator)
-    made = aggregates(df, [o for o in ops if o.name not in COUNTED], rid, narm, delimiter, ignore_case, separator)
-    if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED for o in ops)) and rid is None:
+    made = aggregates(df, [o for o in ops if o.name not in COUNTED and not _compacts(o, narm)], rid, narm, delimiter, ignore_case, separator)
+    if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED or _compacts(o, narm) for o in ops)) and rid is None:
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
     shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(f"_s{i}") for i, k in enumerate(keys)]
@@ -169,8 +192,8 @@ def summarise(
         df, by = islands(df, group, rid), ["_gid"]
     result = df.groupBy(*by).agg(F.count("*").alias("_count"), *shown, *extra, *made)
     for o in ops:
-        if o.name in COUNTED:
-            found = _commonest(df, by, o, narm, separator)
+        if o.name in COUNTED or _compacts(o, narm):
+            found = _commonest(df, by, o, narm, separator) if o.name in COUNTED else _paired(df, by, o, rid, separator)
             same = [result[b].eqNullSafe(found[b]) for b in by]
             result = result.join(found, same, "left").select(*[result[c] for c in result.columns], finish(o.name, found[o.label]).alias(o.label))
     if keys:

@@ -45,3 +45,14 @@ def islands(df: DataFrame, keys: list[Column], rid: str, name: str = "_gid", buc
 def ordinals(df: DataFrame, rid: str, name: str = "_line", buckets: int | None = None) -> DataFrame:
     """``df`` with each row's number from 1 in order of ``rid``."""
     return _running(bucketed(df, rid, buckets), F.lit(1), rid).withColumnRenamed("_sum", name).drop("_bucket")
+
+
+def places(df: DataFrame, group: list[str], rid: str, name: str = "_place", buckets: int | None = None) -> DataFrame:
+    """``df`` with each row's number from 1 within its group in order of ``rid``; a group is split over ranges of ``rid``."""
+    own = bucketed(df, rid, buckets)
+    totals = own.groupBy("_bucket", *group).agg(F.count("*").alias("_total"))
+    above = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_bucket").alias("_b"), *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_total").over(above), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket", *group).orderBy(rid))
+    same = [F.col("_bucket") == F.col("_b"), *[F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]]
+    return own.withColumn("_run", within).join(offsets, same).withColumn(name, F.col("_run") + F.col("_before")).select(*df.columns, name)

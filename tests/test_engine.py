@@ -112,3 +112,16 @@ def test_streamed_runs(spark, tmp_path):
     query.stop()
     got = [(r.run, r.key, r.n, r.total) for r in spark.sql("select * from runs order by run").collect()]
     assert got == [(1, "a", 3, 3.0), (2, "b", 3, 12.0), (3, "a", 3, 21.0), (4, "b", 3, 30.0), (5, "a", 2, 25.0)]
+
+
+def test_paired_under_narm_holds_no_group(spark):
+    rows = [(i, "a" if i % 3 else None, None if i % 4 == 1 else float(i), None if i % 4 == 2 else i * 2.0) for i in range(48)]
+    df = spark.createDataFrame(rows, "rid long, k string, x double, y double")
+    got = summarise(df, [op("dotprod", "x", "y", alias="v"), op("ppearson", "x", "y", alias="p")], ["k"], "rid", narm=True)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    found = got.collect()
+    assert {r.k for r in found} == {"a", None}
+    for r in found:
+        own = [z for z in rows if z[1] == r.k]
+        pairs = list(zip([z[2] for z in own if z[2] is not None], [z[3] for z in own if z[3] is not None]))
+        assert r.v == sum(a * b for a, b in pairs) and 0.9 < r.p <= 1
