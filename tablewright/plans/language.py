@@ -70,6 +70,16 @@ class Request:
     selectors: list[tuple[str, ...]]
 
 
+@dataclass
+class Health:
+    """What is declared of a table; rules are (type, required or nonmissing, field selector, type or None)."""
+
+    examples: int = 3
+    width: int | None = None
+    validate: bool = False
+    rules: list[tuple[str, str, str | None]] = field(default_factory=list)
+
+
 @dataclass
 class Command:
     options: Options
@@ -78,6 +88,7 @@ class Command:
     keys: list[str] = field(default_factory=list)
     number: int | None = None
     words: list[str] = field(default_factory=list)
+    health: Health = field(default_factory=Health)
 
 
 def _one_character(text: str, what: str) -> str:
@@ -215,6 +226,37 @@ def _requests(words: list[str]) -> list[Request]:
     return out
 
 
+def _health(words: list[str], o: Options) -> Health:
+    out, seen, rest = Health(), {}, iter(words)
+    for word in rest:
+        if word in ("examples", "width"):
+            n = next(rest, "")
+            if not re.fullmatch("[0-9]+", n):
+                raise UserError(f"health: {word} requires a nonnegative decimal integer")
+            if seen.setdefault(word, int(n)) != int(n):
+                raise UserError(f"health: conflicting {word}")
+            setattr(out, word, int(n))
+        elif word == "validate":
+            out.validate = True
+        elif word == "tsv":
+            raise Refusal("health's tsv report isn't supported")
+        elif word in ("type", "required", "nonmissing"):
+            found = selectors(next(rest, ""))
+            if len(found) != 1:
+                raise UserError(f"health: {word} takes one field")
+            if not found[0].isdigit() and not o.header_in:
+                raise UserError("health: named fields require a header")
+            kind = next(rest, None) if word == "type" else None
+            if word == "type" and kind not in ("integer", "number", "text"):
+                raise UserError("health: type requires integer, number or text")
+            out.rules.append((word, found[0], kind))
+        else:
+            raise UserError(f"health: unknown control '{word}'")
+    if out.validate and out.width is None and not out.rules:
+        raise UserError("health: validate requires a type, required, nonmissing or width rule")
+    return out
+
+
 def parse(args: Sequence[str]) -> Command:
     """A checked command. Nothing is read."""
     o, words = options_of(args)
@@ -280,9 +322,11 @@ def parse(args: Sequence[str]) -> Command:
                 raise UserError(f"invalid check '{rest[1]}'")
             counts[unit], rest = int(rest[0]), rest[2:]
         return Command(o, mode, words=[str(counts.get("lines", "")), str(counts.get("fields", ""))])
-    if rest and mode != "health":
+    if mode == "health":
+        return Command(o, mode, keys=keys, health=_health(rest, o))
+    if rest:
         raise UserError(f"extra operand '{rest[0]}'")
-    return Command(o, mode, keys=keys, words=rest)
+    return Command(o, mode, keys=keys)
 
 
 def source(spark: SparkSession, o: Options, path: str) -> TextTable:
@@ -402,11 +446,23 @@ def _table_mode(spark: SparkSession, command: Command, table: TextTable) -> Data
         top = spark.createDataFrame([(o.delimiter.join(["", *made.columns[1:]]),)], "value string")
         return top.unionAll(lines(made, o.delimiter, format=o.format))
     if command.mode == "health":
-        width = len(table.names) if table.names else None
-        report = table_health.findings(table.rows, "rid", table.names)
-        counts = table_health.field_counts(table.rows, "rid", table_health.baseline(table.rows, None, table.names) or width or 0)
+        asked, types = command.health, {}
+        present: dict[str, list[int]] = {"required": [], "nonmissing": []}
+        for word, selector, kind in asked.rules:
+            at = table.position(selector)
+            if word == "type":
+                if types.setdefault(at, kind) != kind:
+                    raise UserError(f"health: conflicting types for field {at}")
+            elif at not in present[word]:
+                present[word].append(at)
+        report = table_health.findings(table.rows, "rid", table.names, asked.width, types, present["required"], present["nonmissing"], asked.examples)
+        if asked.validate:
+            table_health.validate(report)
+        base = table_health.baseline(table.rows, asked.width, table.names) or 0
+        counts = table_health.field_counts(table.rows, "rid", max([base, *types, *present["required"], *present["nonmissing"]]))
         a = counts.orderBy("pos").select(F.concat_ws("\t", F.lit("field"), "pos", *table_health.CLASSES, "inferred").alias("value"))
-        b = report.select(F.concat_ws("\t", F.lit("finding"), "category", "basis", "field", "n").alias("value"))
+        shown = F.transform("examples", lambda e: F.concat(e["rid"].cast("string"), F.lit(":"), e["value"]))
+        b = report.select(F.concat_ws("\t", F.lit("finding"), "category", "basis", "field", "n", shown).alias("value"))
         return a.unionAll(b)
     raise UserError(f"invalid mode '{command.mode}'")
 
