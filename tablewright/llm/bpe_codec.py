@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
-from tablewright.llm.storage import lean, small_batches
+from tablewright.llm.storage import lean, bound_batches
 
 NEVER = 1 << 62
 #: The vocabulary's own pattern, for lower-cased text of ASCII and western letters.
@@ -150,7 +150,7 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
     decoded text) and, with ``texts``, ids (array) and decoded (string). A null text is empty: no ids, decoded text "".
     Every row gives a row. The column names of the result replace equal names of ``docs``; others are left.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
     kept = [c for c in docs.columns if c not in made]
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches, width
+from tablewright.llm.storage import bound_batches, pieces, width
 
 
 @dataclass(frozen=True)
@@ -66,11 +66,11 @@ def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
     streams through; none is held in memory.
     """
     spark = turns.sparkSession
-    small_batches(spark, 2048)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, seq = object(), "", 0
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0).to_pylist()
             out = ([], [], [], [], [])
             for conv, role, text in zip(ids, batch.column(2).to_pylist(), batch.column(3).to_pylist()):

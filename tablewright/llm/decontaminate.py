@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches
+from tablewright.llm.storage import bound_batches, lean, pieces
 from tablewright.llm.words import U64, sequence_hashes
 
 #: Least tile in words, share of an item's words that tiles must cover, characters of benchmark text in a block.
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cover
     that repeat each give rows of their own. Other columns are ignored. A clean document gives no row.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cover
         shared = spark.sparkContext.broadcast(Benchmark(block, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 at, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     for x in shared.value.find(text, coverage):
@@ -186,6 +186,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cover
                         names=["doc_id", "item_id", "item_words", "tiled_words", "n_tiles"],
                     )
 
-        return rows.mapInArrow(run, f"{kinds}, item_words long, tiled_words long, n_tiles long")
+        return rows.mapInArrow(lean(run), f"{kinds}, item_words long, tiled_words long, n_tiles long")
 
     return reduce(DataFrame.unionByName, [of(block) for block in _block_rows(benchmark)]).withColumn("coverage", F.col("tiled_words") / F.col("item_words"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches
+from tablewright.llm.storage import bound_batches, lean, pieces
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rare words indexed for each template, and the least share of a template's words that must agree.
@@ -70,13 +70,13 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             found[b""] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 found.update(vocabulary.intersection(words_of(text)))
         yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {bytes(r.word): r.n for r in rows}
     return counts, counts.pop(b"", 0)
 
@@ -132,7 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
     of them in order of place. A null text is empty. Every row gives a row; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = templates()
     counts, n = document_frequencies(rows, frozenset(w for t in found for w in t.words))
@@ -140,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hold = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -167,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run,
+        lean(run),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "holds array<struct<label:string,start:bigint,end:bigint,base:boolean,share:double>>",
     )

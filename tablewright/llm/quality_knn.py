@@ -15,8 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tablewright.llm.storage import lean, small_batches
+from tablewright.llm.storage import as_rows, bound_batches, fields, lean, pieces
 from tablewright.llm.words import word_hashes
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their ids.
@@ -118,12 +119,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents that aren't held out, those with the smallest id hashes."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     told = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pa.array(batch.column("text").to_pylist(), pa.string())
             counts = term_counts(texts)
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in counts], pa.binary())], names=["doc_id", "label", "terms"])
@@ -142,17 +143,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     is 0.5. Every row gives a row. Columns of ``docs`` named score or predicted are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in pieces(fields(batches)):
             texts = pa.array(batch.column("text").to_pylist(), pa.string())
             found = model.scores(term_counts(texts)) if len(texts) else np.zeros(0)
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    rows = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lean(run), f"{schema}, score double, predicted int")
+    rows = docs.select(as_rows(docs, kept))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema["row"].dataType, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))

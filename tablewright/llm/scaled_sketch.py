@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import small_batches, width
+from tablewright.llm.storage import bound_batches, lean, pieces, width
 from tablewright.llm.words import U64, sequence_hashes, word_hashes
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     the range before, so that every range knows the document that follows it. The bounds' number is that of ranges.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("key"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = 4 * width(spark)
@@ -104,7 +104,7 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (place, doc_id, text) that waits for the next
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts, following = [], [], []
             for place, tail, doc, text in zip(*(batch.column(c).to_pylist() for c in ("place", "tail", "doc_id", "text"))):
                 if held and held[0] == place:
@@ -132,5 +132,5 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
             )
 
     return dealt.select("place", "tail", "doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.name_filter import only, without
-from tablewright.llm.storage import lean, small_batches, width, written
+from tablewright.llm.storage import lean, bound_batches, pieces, width, written
 from tablewright.llm.words import mix, sequence_hashes, word_hashes
 
 SHINGLE = 4
@@ -71,10 +71,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False
     hash of the text, null and blank texts alike. ``sketch`` adds sketch, the :func:`minima` of the distinct shingles of
     so many words (null for a null or blank text).
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps, others, same = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 raw = text.as_py()
@@ -396,7 +396,7 @@ def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     members = written(members.select("class", "rep", "block", "blocks"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             own = [x.astype(np.int64).tobytes() for x in shingle_sets(batch.column("text"), shingle)]
             yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
 

@@ -1,68 +1,98 @@
 """Removal of repeated passages by recompression.
 
-Rounds rename a text's word sequence: a first round names runs of one word, every round names adjacent pairs whose
-left symbol is in the round's left half of the alphabet and right symbol in the right half (a bit of the symbol's own
-name). A name is made from what it names, so equal substrings get equal symbols everywhere but at their ends, on every
-executor and without an exchange. For each window of words the rounds keep the range of symbols that its own words
-determine, whatever stands beside it: a round takes away at most one symbol at either end. The window's *anchor* is the
-least symbol name of its range at the highest level where the range isn't empty; equal windows have equal anchors.
-
-First the anchors are counted over the corpus. Those that occur once settle almost all windows; names of the others
-go into a filter of bounded size (a false hit costs a row, never a result). Windows whose anchor repeats are then
-verified by the hash of their words, sorted by hash, document and place: all but the first of each are repeats. Their
-places meet the texts in one exchange by document.
+Rounds rename a text's word sequence. The first names runs of one word; each of the following names adjacent pairs
+whose left symbol is in the round's left half of the alphabet and right symbol in the right half (a bit of the symbol's
+own name). A name is made from what it names, so it is the same everywhere in the corpus without an exchange, and
+equal substrings get equal symbols everywhere but at their ends. For each window of words the rounds keep the range of
+symbols that its own words determine, whatever stands beside it: a round takes away at most one symbol at either end.
+The window's *anchor* is the longest symbol of its range (the greatest name among equals) after the last round whose
+range isn't empty. Equal windows have equal anchors in equal places, and consecutive windows share theirs: a *stretch* is
+consecutive windows of one text with one anchor in one place.
+
+Shared symbols reveal repeats: anchors are counted over the corpus, and only stretches whose anchor repeats go on (a
+filter of bounded size tells them; a false hit costs a row, never a result). They meet by anchor with the words of
+their windows, and what is equal is settled there by comparing the words themselves: the first window of each word
+sequence by document and place stays, the others are repeats. Places of repeats meet their texts in a join.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tablewright.llm.name_filter import NameFilter, filter_of
-from tablewright.llm.storage import lean, small_batches, width, written
-from tablewright.llm.words import U64, mix, sequence_hashes, word_hashes
+from tablewright.llm.name_filter import NameFilter, filter_of, may_hold
+from tablewright.llm.storage import as_rows, bound_batches, drop, lean, pieces, width, written
+from tablewright.llm.words import U64, Split, mix, sequence_hashes, split_words
 
 WINDOW = 20
-ROUNDS = 6
-HASH_BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2127599BF4325C37
-
-
-def _least_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least of values[low:high] for each pair, by minima over power-of-two stretches."""
-    out = np.empty(len(low), U64)
+#: Rounds of pairs. After three, a symbol has 2.4 words on average and a window still has a few of its own.
+ROUNDS = 3
+HASH_BASE = 0x5851F42D4C957F2D
+#: Stretches of one anchor that meet in one task; a more frequent anchor is joined by the words of each window.
+MOST = 10_000
+LENGTH_BITS = 6
+
+
+def name_runs(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each run of one word, name of the run): a single word keeps its own name."""
+    first = np.ones(len(words), bool)
+    first[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(first)
+    length = np.diff(np.append(begin, len(words))).astype(U64)
+    return begin, np.where(length > 1, mix(words[begin] ^ mix(length)), words[begin])
+
+
+def name_pairs(names: np.ndarray, doc: np.ndarray, round_no: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first symbol of each new one, its name, which old symbols are in the right half) of a round of pairs."""
+    salt = U64(0x632BE59BD9B4E019 * (round_no + 1) & (1 << 64) - 1)
+    right = (mix(names + salt) >> U64(63)).astype(bool)
+    joins = np.zeros(len(names), bool)
+    joins[:-1] = ~right[:-1] & right[1:] & (doc[1:] == doc[:-1])
+    head = np.ones(len(names), bool)
+    head[1:] = ~joins[:-1]
+    heads = np.flatnonzero(head)
+    follow = np.minimum(heads + 1, len(names) - 1)
+    both = mix(names[heads] * U64(0x9FB21C651E98DF25) + (names[follow] ^ salt))
+    return heads, np.where(joins[heads], both, names[heads]), right
+
+
+def _greatest_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Index of the first of the greatest values[low:high] for each pair, by maxima over power-of-two stretches."""
+    out = np.empty(len(low), np.int64)
     size = high - low
-    span, table = 1, values
+    span, table = 1, np.arange(len(values))
     while len(size):
         own = np.flatnonzero((size >= span) & (size < 2 * span))
         if len(own):
-            out[own] = np.minimum(table[low[own]], table[high[own] - span])
+            a, b = table[low[own]], table[high[own] - span]
+            out[own] = np.where(values[a] >= values[b], a, b)
         if span * 2 > size.max():
             break
-        table = np.minimum(table[:-span], table[span:]) if len(table) > span else table
+        if len(table) > span:
+            a, b = table[:-span], table[span:]
+            table = np.where(values[a] >= values[b], a, b)
         span *= 2
     return out
 
 
-def anchors(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, anchor) of every window of the texts that ``starts`` cuts ``words`` into."""
+def anchors(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, anchor, word where the anchor stands) of every window of the texts that ``starts`` cuts ``words`` into."""
     n = len(words)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     place = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
     if not len(place):
-        return place, np.zeros(0, U64)
-    # A window inside one long run has no symbol of its own at any level: its anchor is the run's word.
-    anchor = mix(words[place] + U64(1))
-    # Runs: a window knows all its runs but the outer two.
-    first = np.concatenate([[True], (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])])
-    run = np.cumsum(first) - 1
-    begin = np.flatnonzero(first)
-    length = np.diff(np.append(begin, n))
-    names, doc = np.where(length > 1, mix(words[begin] ^ mix(length.astype(U64))), words[begin]), doc[begin]
+        return place, np.zeros(0, U64), place
+    # A window inside one long run has no symbol of its own after any round: its anchor is the word that it begins with.
+    anchor, stands = mix(words[place] + U64(1)), place.copy()
+    begin, names = name_runs(words, doc)
+    run = np.searchsorted(begin, np.arange(n), side="right") - 1
+    # A window knows all its runs but the outer two.
     low, high = run[place] + 1, run[place + window - 1]
     live = np.arange(len(place))
     for level in range(rounds + 1):
@@ -70,181 +100,192 @@ def anchors(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds:
         live, low, high = live[ok], low[ok], high[ok]
         if not len(live):
             break
-        # The level's ranges; those that outlast the next round are overwritten there.
-        last = level == rounds
-        if not last:
-            salt = U64(0x632BE59BD9B4E019 * (level + 1) & (1 << 64) - 1)
-            right = (mix(names + salt) >> U64(63)).astype(bool)
-            joins = np.zeros(len(names), bool)
-            joins[:-1] = ~right[:-1] & right[1:] & (doc[1:] == doc[:-1])
-            head = np.ones(len(names), bool)
-            head[1:] = ~joins[:-1]
-            symbol = np.cumsum(head) - 1
-            inner_low = low + right[low]
-            inner_high = high - ~right[high - 1]
+        if level < rounds:
+            heads, merged, right = name_pairs(names, doc[begin], level)
+            # The outer symbols may join what stands outside, unless their half of the alphabet forbids it.
+            inner_low, inner_high = low + right[low], high - ~right[high - 1]
             stay = inner_low < inner_high
         else:
             stay = np.zeros(len(live), bool)
         ended = ~stay
         if ended.any():
-            anchor[live[ended]] = mix(_least_in(names, low[ended], high[ended]) + U64(level + 2))
-        if last:
-            break
-        live, low, high = live[stay], symbol[inner_low[stay]], symbol[inner_high[stay] - 1] + 1
-        heads = np.flatnonzero(head)
-        paired = joins[heads]
-        follow = np.where(paired, np.minimum(heads + 1, len(names) - 1), heads)
-        with np.errstate(over="ignore"):
-            both = mix(names[heads] * U64(0x9FB21C651E98DF25) + (names[follow] ^ salt))
-        names, doc = np.where(paired, both, names[heads]), doc[heads]
-    return place, anchor
+            size = np.minimum(np.diff(np.append(begin, n)), (1 << LENGTH_BITS) - 1).astype(U64)
+            rank = size << U64(64 - LENGTH_BITS) | names >> U64(LENGTH_BITS)
+            chosen = _greatest_in(rank, low[ended], high[ended])
+            anchor[live[ended]], stands[live[ended]] = mix(rank[chosen] + U64(level + 2)), begin[chosen]
+        if level < rounds:
+            symbol = np.searchsorted(heads, np.arange(len(names)), side="right") - 1
+            live, low, high = live[stay], symbol[inner_low[stay]], symbol[inner_high[stay] - 1] + 1
+            begin, names = begin[heads], merged
+    return place, anchor, stands
+
+
+@dataclass
+class Stretches:
+    """Consecutive windows of one text with one anchor in one place: word where the first begins, number, anchor, text."""
+
+    place: np.ndarray
+    n: np.ndarray
+    name: np.ndarray
+    row: np.ndarray
+
+
+def stretches(split: Split, window: int, rounds: int) -> Stretches:
+    place, anchor, stands = anchors(split.hashes, split.starts, window, rounds)
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (stands[1:] != stands[:-1])
+    at = np.flatnonzero(new)
+    first = place[at]
+    return Stretches(first, np.diff(np.append(at, len(place))), anchor[at], np.searchsorted(split.starts, first, side="right") - 1)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("string").alias("text"))
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... for n places, for each pair, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _order(text: str | None) -> int:
-    """Sets rows of one doc_id apart: equal for equal texts."""
-    return xxhash.xxh3_64_intdigest((text or "").encode()) >> 34
+def first_equal(split: Split, place: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """For each window that begins at the words ``place``, the index of the first one with equal words.
 
+    ``rank`` orders the windows; equal ranks are one window twice. Windows of equal hashes are compared word by word.
+    """
+    if not len(place):
+        return np.zeros(0, np.int64)
+    key = sequence_hashes(split.hashes, window, HASH_BASE)[place]
+    by = np.lexsort((rank, key))
+    same = key[by][1:] == key[by][:-1]
+    at = np.flatnonzero(same)
+    equal = np.ones(len(at), bool)
+    for k in range(window):
+        equal &= split.ids[place[by[at]] + k] == split.ids[place[by[at + 1]] + k]
+    if not equal.all():  # other words under an equal hash: group by the words
+        rows = np.lib.stride_tricks.sliding_window_view(split.ids, window)[place]
+        key = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+        by = np.lexsort((rank, key))
+        same = key[by][1:] == key[by][:-1]
+    head = np.ones(len(by), bool)
+    head[1:] = ~same
+    out = np.empty(len(by), np.int64)
+    out[by] = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+    return out
 
-def repeated_names(docs: DataFrame, window: int = WINDOW) -> NameFilter:
-    """The filter of anchors that more than one start of a window may have."""
-    spark = docs.sparkSession
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """(doc, ord, text): ord tells rows of one doc_id apart and is equal for equal texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("ord"), text.alias("text"))
+
+
+def repeated_anchors(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most: int = MOST) -> tuple[NameFilter, NameFilter]:
+    """Filters of the anchors that more than one stretch has, and of those that more than ``most`` have."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, starts = word_hashes(batch.column(0))
-            place, anchor = anchors(words, starts, window)
-            own = sequence_hashes(words, window, HASH_BASE)[place]
-            by = np.argsort(own)
-            same = own[by][1:] == own[by][:-1]
-            twice = np.unique(anchor[by[1:][same]])
-            names = np.unique(anchor)
-            # Another window of this batch alike counts as a second start; otherwise only another batch's does.
-            count = np.ones(len(names), np.int32)
-            count[np.searchsorted(names, twice)] = 2
-            yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(count)], names=["name", "n"])
-
-    names = docs.select("text").mapInArrow(lean(emit), "name long, n int")
-    again = written(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
-    return filter_of(again)
-
-
-def _runs(doc: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the stretches of consecutive places of one document (rows sorted by document and place)."""
+        for batch in pieces(batches):
+            found, n = np.unique(stretches(split_words(batch.column("text")), window, rounds).name, return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["name", "n"])
+
+    counted = docs.select("text").mapInArrow(lean(emit), "name long, n int").groupBy("name").agg(F.sum("n").alias("n"))
+    again = written(counted.where("n > 1"), "names")
+    filters = filter_of(again.select("name")), filter_of(again.where(F.col("n") > most).select("name"))
+    drop(again)
+    return filters
+
+
+ROW = StructType([StructField(c, LongType()) for c in ("route", "doc", "ord", "start", "n")] + [StructField("words", StringType())])
+
+
+def _rows(route, doc, order, start, n, words) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.string()]
+    columns = [route.view(np.int64), doc, order, start, n, [w.decode() if w is not None else None for w in words]]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=ROW.names)
+
+
+def _spans(doc: np.ndarray, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive starts of one document as (doc, ord, first start, number)."""
+    by = np.lexsort((start, order, doc))
+    doc, order, start = doc[by], order[by], start[by]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (order[1:] != order[:-1]) | (place[1:] != place[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (order[1:] != order[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(new)
-    return at, np.diff(np.append(at, len(doc)))
+    last = start[np.append(at[1:], len(doc)) - 1] if len(at) else start
+    return doc[at], order[at], start[at], last - start[at] + 1
 
 
-def repeats(docs: DataFrame, names: NameFilter, window: int = WINDOW) -> DataFrame:
-    """(doc, ord, start, n): stretches of n window starts whose words also start earlier in the corpus."""
+def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most: int = MOST) -> DataFrame:
+    """(doc, ord, start, n) of ``docs(doc, ord, text)``: n consecutive window starts whose words also start earlier."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(names)
-    fields = ["route", "doc", "place", "more"]
+    shared = spark.sparkContext.broadcast(repeated_anchors(docs, window, rounds, most))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        for batch in batches:
-            texts = batch.column(1)
-            words, starts = word_hashes(texts)
-            place, anchor = anchors(words, starts, window)
-            place = place[names.may_hold(anchor)]
-            if not len(place):
+        again, often = shared.value
+        for batch in pieces(batches):
+            split = split_words(batch.column("text"))
+            all_ = stretches(split, window, rounds)
+            kept = np.flatnonzero(again.may_hold(all_.name))
+            if not len(kept):
                 continue
-            route = sequence_hashes(words, window, HASH_BASE)[place]
-            check = (sequence_hashes(words, window, CHECK_BASE)[place] >> U64(33)).astype(np.int64)
-            row = np.searchsorted(starts, place, side="right") - 1
-            ids = batch.column(0).to_numpy()
-            used = np.unique(row)
-            orders = np.zeros(len(ids), np.int64)
-            orders[used] = [_order(texts[i].as_py()) for i in used.tolist()]
-            doc, order, start = ids[row], orders[row], place - starts[row]
-            # Repeats within the batch are settled here, so that a passage sends one row from each batch at most.
-            by = np.lexsort((start, order, doc, check, route))
-            same = (route[by][1:] == route[by][:-1]) & (check[by][1:] == check[by][:-1])
-            alike = same & (doc[by][1:] == doc[by][:-1]) & (order[by][1:] == order[by][:-1]) & (start[by][1:] == start[by][:-1])
-            later = np.zeros(len(by), bool)
-            for k in np.flatnonzero(same).tolist() if alike.any() else ():
-                later[k + 1] = later[k] if alike[k] else True
-            if not alike.any():
-                later[1:] = same
-            first, again = by[~later], np.sort(by[later])
-            # An equal (document, place) of a repeated row is no earlier start: it stays among the firsts.
-            yield packed(route[first], check[first], doc[first], order[first], start[first], np.zeros(len(first), np.int64))
-            if len(again):
-                by = again[np.lexsort((start[again], order[again], doc[again]))]
-                at, n = _runs(doc[by], order[by], start[by])
-                by = by[at]
-                yield packed(mix(route[by]), np.full(len(by), -1), doc[by], order[by], start[by], n)
-
-    def packed(route, check, doc, order, start, n) -> pa.RecordBatch:
-        """Rows to sort by route, document and place: place is the text's order and the start, more is check and n."""
-        return pa.record_batch([pa.array(route.view(np.int64)), pa.array(doc), pa.array(order << 32 | start), pa.array(check << 32 | n)], names=fields)
+            first, n, name, row = (x[kept] for x in (all_.place, all_.n, all_.name, all_.row))
+            doc, order = (batch.column(c).to_numpy() for c in ("doc", "ord"))
+            # Windows that an earlier one of the same piece repeats are settled here and sent as told.
+            _, text_rank = np.unique(np.stack([doc, order], axis=1), axis=0, return_inverse=True)
+            text_rank = text_rank.reshape(-1).astype(np.int64)
+            of, at = np.repeat(np.arange(len(first)), n), _each(first, n)
+            rank = text_rank[row[of]] << 32 | at - split.starts[row[of]]
+            head = first_equal(split, at, rank, window)
+            told = rank != rank[head]
+            d, o, s, k = _spans(doc[row[of[told]]], order[row[of[told]]], (rank & 0xFFFFFFFF)[told])
+            yield _rows(mix(d.view(U64) + s.view(U64)), d, o, s, k, [None] * len(d))
+            # Of what is left a stretch sends its windows from the first to the last; a row twice is sent once.
+            left = np.flatnonzero(head == np.arange(len(head)))
+            many = often.may_hold(name[of[left]])
+            whole, single = left[~many], left[many]
+            lead = np.flatnonzero(np.diff(of[whole], prepend=-1))
+            low, high = at[whole[lead]], at[whole[np.append(lead[1:], len(whole)) - 1]] if len(lead) else at[whole]
+            low, high = np.concatenate([low, at[single]]), np.concatenate([high, at[single]]) + window
+            by = np.concatenate([of[whole[lead]], of[single]])
+            route = name[by]
+            if len(single):
+                route = route.copy()
+                route[len(lead) :] = mix(route[len(lead) :] + sequence_hashes(split.hashes, window, HASH_BASE)[at[single]])
+            yield _rows(route, doc[row[by]], order[row[by]], low - split.starts[row[by]], np.zeros(len(by), np.int64), split.texts(low, high))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by hash, document and place: those of a hash after its first place are repeats."""
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-        last = None  # (route, check, doc, place) that came first for the current hash
-
-        def flush() -> pa.RecordBatch:
-            doc, order, start, n = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((start, order, doc))
-            doc, order, start, n = doc[by], order[by], start[by], n[by]
-            one = n == 1
-            at, length = _runs(doc[one], order[one], start[one])
-            parts = [(doc[~one], order[~one], start[~one], n[~one]), (doc[one][at], order[one][at], start[one][at], length.astype(np.int32))]
-            held.clear()
-            return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["doc", "ord", "start", "n"])
-
-        for batch in batches:
-            route, doc, place, more = (batch.column(c).to_numpy() for c in fields)
-            if not len(route):
+        """Rows by route, document and place: windows of a route whose words came before are repeats."""
+        carry: pa.Table | None = None  # what the last route has brought so far, rows that repeat left out
+        names = ["doc", "ord", "start", "n"]
+        for batch in pieces(batches, "words", rows=1 << 20):
+            told = batch.column("n").to_numpy() > 0
+            if told.any():
+                yield pa.record_batch([batch.column(c).filter(pa.array(told)) for c in names], names=names)
+                batch = batch.filter(pa.array(~told))
+            if not batch.num_rows:
                 continue
-            check, n = more >> 32, more & 0xFFFFFFFF
-            told = n > 0
-            if last is not None and last[0] == route[0]:
-                # The hash goes on from the batch before: its first place counts as a row here.
-                route, doc, place, check = (np.concatenate([[x], y]) for x, y in zip((last[0], last[2], last[3], last[1]), (route, doc, place, check)))
-                n, told = np.concatenate([[0], n]), np.concatenate([[False], told])
-                carried = 1
-            else:
-                carried = 0
-            # Windows of one hash whose checks differ are different: such a hash's rows are sorted by check, too.
-            new = np.ones(len(route), bool)
-            new[1:] = route[1:] != route[:-1]
-            if ((check[1:] != check[:-1]) & ~new[1:]).any():
-                by = np.lexsort((place, doc, check, route))
-                route, doc, place, check, n, told = (x[by] for x in (route, doc, place, check, n, told))
-                new[1:] = (route[1:] != route[:-1]) | (check[1:] != check[:-1])
-                carried_at = np.flatnonzero(by == 0) if carried else np.zeros(0, np.int64)
-            else:
-                carried_at = np.zeros(carried, np.int64)
-            head = np.maximum.accumulate(np.where(new, np.arange(len(route)), 0))
-            later = ~told & ((doc != doc[head]) | (place != place[head]))
-            last = (route[-1], check[-1], doc[head[-1]], place[head[-1]])
-            out = told | later
-            out[carried_at] = False
-            order, start = place >> 32, (place & 0xFFFFFFFF).astype(np.int32)
-            if out.any():
-                held.append((doc[out], order[out], start[out], np.where(told, n, 1)[out].astype(np.int32)))
-                rows += int(out.sum())
-            if rows > 1_000_000:
-                yield flush()
-                rows = 0
-        if held:
-            yield flush()
-
-    kind = "route long, doc long, place long, more long"
-    rows = docs.mapInArrow(lean(emit), kind).repartition(width(spark), "route").sortWithinPartitions("route", "doc", "place")
-    return rows.mapInArrow(lean(settle), "doc long, ord long, start int, n int")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+            own = pa.Table.from_batches([batch])
+            before = 0
+            if carry is not None and carry["route"][0] == own["route"][0]:
+                before = len(carry)
+                own = pa.concat_tables([carry, own])
+            own = own.combine_chunks()
+            route, doc, order, start = (own[c].to_numpy() for c in ("route", "doc", "ord", "start"))
+            split = split_words(own["words"].chunk(0))
+            size = np.diff(split.starts)
+            of, at = np.repeat(np.arange(len(own)), size - window + 1), _each(split.starts[:-1], size - window + 1)
+            place = start[of] + at - split.starts[of]
+            # Rows are in order, so a window's rank is its place among them; a window of one text twice has one rank.
+            head = first_equal(split, at, np.arange(len(at)), window)
+            other = (doc[of] != doc[of[head]]) | (order[of] != order[of[head]]) | (place != place[head])
+            found = other & (of >= before)
+            if found.any():
+                yield pa.record_batch(list(map(pa.array, _spans(doc[of[found]], order[of[found]], place[found]))), names=names)
+            fresh = np.zeros(len(own), bool)
+            fresh[of[head == np.arange(len(head))]] = True
+            carry = own.filter(pa.array(fresh & (route == route[-1])))
+
+    rows = docs.mapInArrow(lean(emit), ROW).repartition(width(spark), "route").sortWithinPartitions("route", "doc", "ord", "start")
+    return rows.mapInArrow(lean(settle), "doc long, ord long, start long, n long")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, rounds: int = ROUNDS, most: int = MOST) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` without the words that a repeated window covers.
 
     Words lie between ASCII white space and are compared as they are. A window of ``window`` consecutive words is a
@@ -254,68 +295,52 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
 
     A null or blank text has no words. Rows of one doc_id count as equal if their texts are equal: neither is earlier,
     and both keep what they alone share; of different texts one, fixed by a hash of the text, counts as earlier. A
-    null doc_id counts as smallest. Every row gives a row; columns of ``docs`` with names of the added ones are
-    replaced.
+    null doc_id counts as smallest. Every row gives a row, a text of any length is one row's work in one task; columns
+    of ``docs`` with names of the added ones are replaced, others are kept whatever their names. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     own = _documents(docs)
-    found = repeats(own, repeated_names(own, window), window)
+    found = repeats(own, window, rounds, most).groupBy("doc", "ord").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = written(found, "spans")
     made = ["n_words", "n_removed", "kept_sha256", *["kept_text", "removed"] * texts]
     kept = [c for c in docs.columns if c not in made]
-    body = F.struct(*(docs[c] for c in kept))
-    text_rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n"), F.lit(1).alias("kind"), body.alias("row"))
-    span_rows = found.select("doc", "ord", "start", "n", F.lit(0).alias("kind"), F.lit(None).cast(text_rows.schema["row"].dataType).alias("row"))
-    dealt = span_rows.unionByName(text_rows).repartition(width(spark), "doc").sortWithinPartitions("doc", "kind", "ord", "start")
+    key = _documents(docs).columns[:2]
+    rows = docs.select(*(c.alias(k) for c, k in zip((F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), key)), as_rows(docs, kept))
+    # Texts that nothing touches stay where they are; only the others are dealt out to meet their spans.
+    may = may_hold(rows, filter_of(found.select(F.xxhash64(*key).alias("name"))), F.xxhash64(*key))
+    met = rows.where(may).join(found, key, "left").select("row", "spans")
+    plain = rows.where(~may).select("row", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, spans = None, []  # spans of the current doc: (ord, starts, ns)
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            order, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "start", "n"))
-            rows = batch.column("row")
-            whole = np.flatnonzero(kind == 1)
-            texts_in = rows.field(kept.index("text")).take(pa.array(whole)).to_pylist() if len(whole) else []
-            cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
-            counts = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": [], "removed": []}
-            k = 0
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if s == e:
-                    continue
-                if doc[s] != current:
-                    current, spans = doc[s], []
-                m = s + int(np.searchsorted(kind[s:e], 1))
-                if m > s:
-                    spans.append((order[s:m], start[s:m], n[s:m]))
-                for _ in range(m, e):
-                    text = texts_in[k]
-                    k += 1
-                    words = (text or "").encode().split()
+            body = batch.column("row")
+            lists = batch.column("spans")
+            bounds = lists.offsets.to_numpy()
+            start, n = (lists.values.field(k).to_numpy() for k in ("start", "n"))
+            out: dict[str, list] = {c: [] for c in made}
+            for i, text in enumerate(body.field(kept.index("text")).to_pylist()):
+                words = (text or "").encode().split()
+                a, b = (int(bounds[i]), int(bounds[i + 1])) if lists[i].is_valid else (0, 0)
+                gone, left = np.zeros(0, bool), words
+                if a < b:
                     covered = np.zeros(len(words) + 1, np.int32)
-                    if spans and words:
-                        mine = _order(text)
-                        for o, a, b in spans:
-                            at = o == mine
-                            if at.any():
-                                np.add.at(covered, a[at].astype(np.int64), 1)
-                                np.add.at(covered, np.minimum(a[at] + b[at] + window - 1, len(words)).astype(np.int64), -1)
+                    np.add.at(covered, start[a:b], 1)
+                    np.add.at(covered, np.minimum(start[a:b] + n[a:b] + window - 1, len(words)), -1)
                     gone = np.cumsum(covered[:-1]) > 0
-                    removed = int(gone.sum())
-                    left = [w for w, g in zip(words, gone.tolist()) if not g] if removed else words
-                    plain = b" ".join(left)
-                    counts["n_words"].append(len(words))
-                    counts["n_removed"].append(removed)
-                    counts["kept_sha256"].append(hashlib.sha256(plain).hexdigest())
-                    if texts:
-                        counts["kept_text"].append(plain.decode() if removed else text)
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                        counts["removed"].append(edge.reshape(-1, 2).tolist())
-            if len(whole):
-                chosen = rows.take(pa.array(whole))
-                types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "removed": pa.list_(pa.list_(pa.int64()))}
-                yield pa.record_batch([*(chosen.field(i) for i in range(len(kept))), *(pa.array(counts[c], types[c]) for c in made)], names=[*kept, *made])
-
-    types = {"n_words": "long", "n_removed": "long", "removed": "array<array<bigint>>"}
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {types.get(c, 'string')}" for c in made]
-    return dealt.mapInArrow(lean(run), ", ".join(schema))
+                    left = [w for w, g in zip(words, gone.tolist()) if not g]
+                plain = b" ".join(left)
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(left))
+                out["kept_sha256"].append(hashlib.sha256(plain).hexdigest())
+                if texts:
+                    out["kept_text"].append(plain.decode() if len(left) < len(words) else text)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+                    out["removed"].append(edge.reshape(-1, 2).tolist())
+            types = {"n_words": pa.int64(), "n_removed": pa.int64(), "removed": pa.list_(pa.list_(pa.int64()))}
+            yield pa.record_batch([*body.flatten(), *(pa.array(out[c], types.get(c, pa.string())) for c in made)], names=[*kept, *made])
+
+    types = {"n_words": LongType(), "n_removed": LongType(), "removed": ArrayType(ArrayType(LongType()))}
+    schema = StructType([*rows.schema["row"].dataType] + [StructField(c, types.get(c, StringType())) for c in made])
+    return met.unionByName(plain).mapInArrow(lean(run), schema)

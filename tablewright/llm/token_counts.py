@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
-from tablewright.llm.storage import small_batches
+from tablewright.llm.storage import bound_batches
 
 LIMIT = 1024
 #: The vocabulary's own pattern, for text of ASCII and western letters.
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     tokens, truncation or padding; special strings in a text count one token each. A null text is empty: 0 bytes,
     0 tokens. Every row gives a row, repeated or not, whatever its doc_id; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +49,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, start of each text's words and the end), as below, for stretches of about STRETCH bytes."""
-    raw = pc.fill_null(texts, "").cast(pa.binary())
+    raw = pc.fill_null(texts, "" if pa.types.is_string(texts.type) else b"").cast(pa.binary())
     ends = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(ends // STRETCH)) + 1).tolist(), len(raw)]
     hashes, starts, before = [], [], 0
@@ -60,6 +61,20 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.zeros(0, U64), *hashes]), np.concatenate([np.zeros(0, np.int64), *starts, [before]]).astype(np.int64)
 
 
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is each byte part of a word, first byte of each word, byte after it) of texts that ``offsets`` cut ``data`` into."""
+    n = len(data)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    # A word begins after white space or at its text's beginning.
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    return inside, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def _word_hashes(raw: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, start of each text's words and the end): words lie between ASCII white space; null: none.
 
@@ -72,15 +87,7 @@ def _word_hashes(raw: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     n = len(data)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    # A word begins after white space or at its text's beginning.
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:n]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | edge[1:n]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    _, begin, end = _bounds(data, offsets)
     values = _byte_values()
     if lower:
         values = values.copy()
@@ -91,6 +98,48 @@ def _word_hashes(raw: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)), np.searchsorted(begin, offsets)
 
 
+@dataclass
+class Split:
+    """Words of a batch of texts: ``ids`` are equal for equal words (and for no others), ``hashes`` are the words' names
+    anywhere. Text i has the words ``starts[i]`` to ``starts[i + 1]``; word k is ``joined[begin[k]:end[k]]``, and one
+    space parts it from the next of its text."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    joined: bytes
+    begin: np.ndarray
+    end: np.ndarray
+
+    def texts(self, first: np.ndarray, after: np.ndarray) -> list[bytes]:
+        """The words from ``first`` to before ``after``, joined by one space, for each pair."""
+        joined = self.joined
+        return [joined[a:b] for a, b in zip(self.begin[first].tolist(), self.end[after - 1].tolist())]
+
+
+def split_words(texts: pa.Array) -> Split:
+    """The words between ASCII white space of every text; a null has none."""
+    raw = pc.fill_null(texts, "" if pa.types.is_string(texts.type) else b"").cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    if not len(offsets) or offsets[-1] == offsets[0]:
+        none = np.zeros(0, np.int64)
+        return Split(none, np.zeros(0, U64), np.zeros(len(raw) + 1, np.int64), b"", none, none)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    inside, begin, end = _bounds(data, offsets - offsets[0])
+    starts = np.searchsorted(begin, offsets - offsets[0])
+    letters = np.cumsum(inside)
+    ends = letters[end - 1]
+    edges = np.concatenate([[0], ends]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(data[inside])]).dictionary_encode()
+    ids = found.indices.to_numpy().astype(np.int64)
+    hashes, _ = word_hashes(found.dictionary)
+    # A word and its length of letters say where it stands once every word is followed by one space.
+    at = np.arange(len(begin), dtype=np.int64)
+    spaced = np.full(int(ends[-1]) + len(begin), 32, np.uint8)
+    spaced[np.arange(int(ends[-1])) + np.repeat(at, end - begin)] = data[inside]
+    return Split(ids, hashes[ids], starts, spaced.tobytes(), edges[:-1] + at, ends + at)
+
+
 def sequence_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
     """A hash of the ``length`` words from each place on (``len(words) - length + 1`` values), by doubling."""
     if len(words) < length:

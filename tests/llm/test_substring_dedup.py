@@ -3,15 +3,22 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tablewright.llm import substring_dedup as dedup
 from tablewright.llm.words import word_hashes
 
 
+def order_of(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows, window=20):
     """rows: (doc_id, text) -> sorted (doc_id, n_words, n_removed, sha256); equal rows count as one document."""
-    docs = sorted({(i if i is not None else -(1 << 63), dedup._order(t), tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows})
+    docs = sorted({(i if i is not None else -(1 << 63), order_of(t), tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows})
     seen, result = set(), {}
     for i, order, words in docs:
         gone = [False] * len(words)
@@ -22,7 +29,7 @@ def brute(rows, window=20):
             seen.add(own)
         left = " ".join(w for w, g in zip(words, gone) if not g)
         result[i, order] = (len(words), sum(gone), hashlib.sha256(left.encode()).hexdigest())
-    return sorted((i if i is not None else -1, *result[i if i is not None else -(1 << 63), dedup._order(t)]) for i, t in rows)
+    return sorted((i if i is not None else -1, *result[i if i is not None else -(1 << 63), order_of(t)]) for i, t in rows)
 
 
 def check(spark, rows, **more):
@@ -66,6 +73,8 @@ def test_periods_runs_and_shared_passages(spark):
         rows.append((i * 3 % 97 * 10 + i // 97, " ".join(words)))
     check(spark, rows)
     check(spark, rows, window=7)
+    check(spark, rows, most=1)
+    check(spark, rows, rounds=6)
 
 
 def test_edge_rows(spark):
@@ -81,11 +90,38 @@ def test_equal_windows_have_equal_anchors(window):
     rng = np.random.default_rng(2)
     core = rng.integers(0, 30, 200)
     texts = [" ".join(map(str, np.concatenate([rng.integers(0, 30, rng.integers(0, 40)), core, rng.integers(0, 30, 10)]))) for _ in range(20)]
-    import pyarrow as pa
-
     words, starts = word_hashes(pa.array(texts))
-    place, anchor = dedup.anchors(words, starts, window)
+    place, anchor, stands = dedup.anchors(words, starts, window)
     seen = {}
-    for p, a in zip(place.tolist(), anchor.tolist()):
+    for p, *a in zip(place.tolist(), anchor.tolist(), (stands - place).tolist()):
         assert seen.setdefault(tuple(words[p : p + window].tolist()), a) == a
-    assert len(set(anchor.tolist())) > 100
+    assert len(set(anchor.tolist())) > 50
+
+
+def test_rounds_tell_repeats_from_unique_texts(spark):
+    rng = np.random.default_rng(9)
+    unique = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(60)]
+    split = dedup.split_words(pa.array(unique))
+    found = dedup.stretches(split, 20, dedup.ROUNDS)
+    # A few words in a row name a stretch of about eight windows, and names of unique texts hardly ever repeat.
+    assert 0.08 < len(found.n) / len(split.ids) < 0.2 and found.n.sum() == 60 * 381
+    docs = spark.createDataFrame(list(enumerate(unique)), "doc_id long, text string")
+    again, often = dedup.repeated_anchors(dedup._documents(docs))
+    assert again.may_hold(found.name).mean() < 0.05
+    again, often = dedup.repeated_anchors(dedup._documents(docs.unionByName(docs.selectExpr("doc_id + 100", "text").toDF("doc_id", "text"))))
+    assert again.may_hold(found.name).all()
+
+
+def test_dotted_columns_and_a_very_long_text(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(f"x{i % 90_000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, body, "p", 7), (2, f"y {body} z", "q", 8), (3, long, "r", 9)], "doc_id long, text string, `a.b` string, `doc` int").withColumnRenamed("doc", "spa`ns")
+    got = {r.doc_id: r for r in dedup.remove_repeats(docs).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 30, 110_000] and got[2].kept_text == "y z" and got[3]["a.b"] == "r" and got[3]["spa`ns"] == 9
+    assert got[3].removed == [[90_000, 200_000]]
+
+
+def test_equal_hashes_of_other_words_are_told_apart(monkeypatch):
+    split = dedup.split_words(pa.array(["a b c d", "a b c e", "a b c d"]))
+    monkeypatch.setattr(dedup, "sequence_hashes", lambda words, window, base: np.zeros(len(words) - window + 1, np.uint64))
+    assert dedup.first_equal(split, np.array([0, 4, 8]), np.arange(3), 4).tolist() == [0, 1, 0]
