@@ -1,9 +1,9 @@
 """Quality classifier by nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are the three-letter sequences of its shape (every byte is one of twelve classes: lower case, upper
-case, digit, white space, kinds of punctuation and so on) and a few terms for repeated words. Term weights are a log
-of the counts times an inverse document frequency, and a truncated singular value decomposition of the labelled
-sample gives the latent space. The labelled vectors are broadcast, at most ``SAMPLE`` of them; every document's
+A text's terms are its words (lower-cased, by hash in a bounded number of buckets), the three-letter sequences of its
+shape (every byte is one of twelve classes: lower case, upper case, digit, white space, kinds of punctuation and so on)
+and a few terms for repeated words. Term weights are the root of the counts times an inverse document frequency, and a
+truncated singular value decomposition of the labelled sample gives the latent space. The labelled vectors are broadcast, at most ``SAMPLE`` of them; every document's
 cosine to every labelled vector is computed, in blocks, and the nearest ones vote with their similarity as weight.
 """
 
@@ -25,7 +25,9 @@ SAMPLE = 4000
 DIMENSIONS, NEIGHBOURS = 48, 25
 CLASSES = 12
 REPEATS = 8  # terms for repeated words
-TERMS = CLASSES**3 + REPEATS
+#: Buckets of words, and the share that words have in a text's counts next to its shape.
+WORDS, WORD_SHARE = 1024, 0.02
+TERMS = CLASSES**3 + REPEATS + WORDS
 
 
 def _class_table() -> np.ndarray:
@@ -46,7 +48,8 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
     data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
     out = np.zeros((len(raw), TERMS), np.float32)
-    words, starts = word_hashes(texts)
+    words, starts = word_hashes(texts, lower=True)
+    buckets = (words % np.uint64(WORDS)).astype(np.int64)
     for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         if e - s >= 3:
             shape = SHAPES[data[s:e]]
@@ -59,8 +62,9 @@ def term_counts(texts: pa.Array) -> np.ndarray:
             twice = np.mean(own[1:] == own[:-1]) if n > 1 else 0.0
             pairs = own[1:] ^ (own[:-1] << np.uint64(1))
             same = 1 - len(np.unique(pairs)) / max(1, len(pairs))
-            out[i, CLASSES**3 :] = [again > 0.5, again > 0.7, again > 0.85, twice > 0.05, twice > 0.3, same > 0.15, same > 0.4, same > 0.7]
-    out[:, CLASSES**3 :] *= 0.05
+            flags = [again > 0.5, again > 0.7, again > 0.85, twice > 0.05, twice > 0.3, same > 0.15, same > 0.4, same > 0.7]
+            out[i, CLASSES**3 : CLASSES**3 + REPEATS] = np.array(flags) * 0.05
+            out[i, CLASSES**3 + REPEATS :] = np.bincount(buckets[starts[i] : starts[i + 1]], minlength=WORDS) * (WORD_SHARE / n)
     return out
 
 
@@ -83,12 +87,19 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        if not len(self.vectors):
+        """The vote of each text's nearest labelled vectors, weighted by the eighth power of the cosine.
+
+        Cosines are rounded to five digits; of equal ones the vector that comes first counts as nearer. How texts are
+        batched may change a score in its fifth digit.
+        """
+        n = len(self.vectors)
+        if not n:
             return np.full(len(counts), 0.5)
-        near = self.project(counts) @ self.vectors.T
-        k = min(neighbours, near.shape[1])
-        index = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, index, axis=1), 0) ** 8
+        k = min(neighbours, n)
+        near = np.rint(self.project(counts) @ self.vectors.T * 1e5).astype(np.int64)
+        order = near * n + np.arange(n - 1, -1, -1)
+        index = np.argpartition(order, n - k, axis=1)[:, n - k :]
+        weight = np.maximum(np.take_along_axis(near, index, axis=1) / 1e5, 0) ** 8
         total = weight.sum(axis=1)
         mean = float(self.labels.mean())
         vote = (weight * self.labels[index]).sum(axis=1)
@@ -118,7 +129,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents that aren't held out, those with the smallest id hashes."""
+    """A model from at most ``sample`` labelled documents that aren't held out, those with the smallest id hashes.
+
+    Labels without a doc_id, or other than 0 and 1, are left out; of several labels of one id the larger counts, of
+    several texts of one id the first in byte order. So the driver gets at most ``sample`` rows of term counts, whatever
+    rows repeat an id and however long a text is. Ids may be of any type that joins. Without any labelled row the model
+    is empty.
+    """
     bound_batches(docs.sparkSession)
     told = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -127,20 +144,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in pieces(batches):
             texts = pa.array(batch.column("text").to_pylist(), pa.string())
             counts = term_counts(texts)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in counts], pa.binary())], names=["doc_id", "label", "terms"])
+            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([r.tobytes() for r in counts], pa.binary())], names=["id", "label", "terms"])
 
-    one = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = one.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "doc_id long, label int, terms binary").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("label").cast("int").alias("label"), F.min("text").alias("text"))
+    rows = one.mapInArrow(lean(run), "id string, label int, terms binary").toArrow()
+    rows = rows.sort_by("id").combine_chunks()
     counts = np.stack([np.frombuffer(x, np.float32) for x in rows["terms"].to_pylist()]) if len(rows) else np.zeros((0, TERMS), np.float32)
-    return fit(counts[: 2 * sample], rows["label"].to_numpy()[: 2 * sample].astype(np.float32))
+    return fit(counts, rows["label"].to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1: the neighbours' vote for label 1) and predicted (1 from 0.5 on).
 
     A null or empty text has no neighbour and scores the labelled sample's mean; without any labelled row every score
-    is 0.5. Every row gives a row. Columns of ``docs`` named score or predicted are replaced.
+    is 0.5. Every row gives a row, repeated or not, whatever its doc_id and the length of its text. Columns of ``docs``
+    named score or predicted are replaced, others kept whatever their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
