@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tablewright.llm import decontaminate as d
 
@@ -39,7 +40,7 @@ def test_tiles_cover_what_plain_tiling_covers():
         assert sum(k for _, _, k in laid) == plain_tiles(item, text, least)
 
 
-def test_reordered_passages_and_clean_documents(spark, monkeypatch):
+def test_reordered_passages_and_clean_documents(spark):
     rng = random.Random(1)
     word = lambda k: f"w{k}"
     items = [(i, " ".join(word(rng.randint(0, 900)) for _ in range(40)), "x") for i in range(30)] + [(100, "Short one.", "x"), (101, None, "x"), (102, "", "x"), (7, "again again", "x")]
@@ -55,14 +56,23 @@ def test_reordered_passages_and_clean_documents(spark, monkeypatch):
     frames = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, doc_id string")
     want = sorted([(i, i) for i in range(30)] + [(5, 5), (2002, 100), (-1, 3)])
     for size in (d.BLOCK_CHARS, 900):
-        monkeypatch.setattr(d, "BLOCK_CHARS", size)
-        got = d.contaminated(*frames).collect()
+        got = d.contaminated(*frames, block_chars=size).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in got) == want
         assert all(r.coverage == 1.0 for r in got)
     assert d.contaminated(frames[0].limit(0), frames[1]).count() == 0
     assert d.contaminated(frames[0], frames[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_chars", [d.BLOCK_CHARS, 100])
+def test_ids_of_text_and_a_very_long_text(spark, block_chars):
+    words = [f"w{i}" for i in range(40)]
+    long = " ".join(f"x{i % 70_000}" for i in range(300_000)) + " " + " ".join(words)
+    docs = spark.createDataFrame([("a", " ".join(words)), ("a", " ".join(words)), (None, long), ("c", "w1 w2 w3")], "doc_id string, text string")
+    items = spark.createDataFrame([("i", " ".join(words[:20])), (None, " ".join(words[20:])), ("j", "nothing of the kind in any text")], "item_id string, text string")
+    got = sorted((r.doc_id or "", r.item_id or "", r.tiled_words, r.coverage) for r in d.contaminated(docs, items, block_chars=block_chars).collect())
+    assert got == sorted([(x, i, 20, 1.0) for x in ("a", "a", "") for i in ("i", "")])
+
+
 def test_planted_items_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
