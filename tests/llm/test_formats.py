@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from tablewright.llm import chat_format as chat, scaled_sketch as sketch, warc_store as warc
 
 TURNS = "conv_id long, turn long, role string, text string, valid string, seq string"
@@ -51,6 +53,37 @@ def test_warc_reconstructs(spark):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_warc_files_round_trip(spark, tmp_path):
+    rows = [(5, "http://a", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u", None), (8, "v", "\r\n\r\nWARC/1.1\r\n"), (7, "w", "x" * 3_000_000), (3, None, "<p>é</p>"), (None, "n", "<p>é</p>"), (4, "about:blank", "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.read_archive(spark, warc.write_archive(pages))
+    warc.write_warc(archive.repartition(2), str(tmp_path / "out"), per_file=3)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 2
+    found = [r for f in files for r in warc.records_of(f.read_bytes())]
+    assert len(found) == len(rows)
+    fields = [dict(line.split(": ", 1) for line in header.split("\r\n")[1:] if line) for header, _ in found]
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(rows)
+    by_id = {f["WARC-Record-ID"]: (f, block) for f, (_, block) in zip(fields, found)}
+    for f, (header, block) in zip(fields, found):
+        assert int(f["Content-Length"]) == len(block) and all(f[x] for x in ("WARC-Type", "WARC-Date", "WARC-Target-URI"))
+        head, _, body = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"HTTP/1.1 200 OK\r\n")
+        if f["WARC-Type"] == "revisit":
+            target, whole = by_id[f["WARC-Refers-To"]]
+            assert f["WARC-Profile"] == warc.PROFILE and body == b"" and target["WARC-Type"] == "response" and target["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"]
+            body = whole.partition(b"\r\n\r\n")[2]
+        assert f["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    back = warc.read_warc(spark, str(tmp_path / "out"))
+    said = lambda rows: sorted((r.page_id if r.page_id is not None else -1, r.url or "", bytes(r.payload).decode(), r.record_type, r.refers_to or 0, r.header) for r in rows)
+    assert said(back.collect()) == said(archive.collect())
+    assert sorted((r.page_id if r.page_id is not None else -1, r.url or "", bytes(r.payload).decode()) for r in back.collect()) == sorted((i if i is not None else -1, u or "", t or "") for i, u, t in rows)
+    data = files[0].read_bytes()
+    for bad in (data[:-3], b"x" + data, data.replace(b"Content-Length: ", b"Content-Length: 1", 1)):
+        with pytest.raises(ValueError):
+            list(warc.records_of(bad))
+
+
 def test_sketch_neighbours(spark):
     body = " ".join(f"w{i}" for i in range(400))
     rows = [(i, t, "x") for i, t in [(4, body), (1, body), (2, "short"), (9, None), (7, ""), (8, body[:900] + " other words here é😀"), (8, body)]]
