@@ -7,7 +7,6 @@ hash of a text is below the threshold the smallest one is kept, so that only a t
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -66,39 +65,57 @@ def edited(text: str, following: str) -> str:
 def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Fingerprints of every row of ``docs(doc_id, text)``, of its edited text, and their likeness.
 
-    Documents are taken in ascending doc_id, nulls first, repeated ids by text; the last is followed by the first, and
-    a single one by itself. Null text is empty. near_edited and near_next are the estimated containment of the
-    document in its edited text and in the next document. Other columns are ignored.
+    Documents are taken in ascending doc_id, nulls first, those of one id by a hash of their text; the last is followed
+    by the first, and a single one by itself. Null text is empty. near_edited and near_next are the estimated
+    containment of the document in its edited text and in the next document. Every row gives a row, repeated ones too;
+    an empty table gives an empty result. Other columns are ignored.
 
-    Rows are dealt by ranges of doc_id whose lower bounds are ids of the table; a bound's row also goes to the end of
-    the range before, so that every range knows the document that follows it. The bounds' number is that of ranges.
+    Rows are dealt by ranges of doc_id; an id that fills several ranges is split over them by the hash of the text. The
+    first row of a range also goes to the end of the range before, so that every range knows the document that follows
+    it. A range streams through its task, with one document held at a time.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), F.col("doc_id"), text.alias("text"))
     ranges = 4 * width(spark)
-    keys = rows.select("key")
-    least = keys.agg(F.min("key")).first()[0]
-    found = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    bounds = sorted({b for b in found if b != least})
+    found = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    points, times = (np.array(x, np.int64) for x in np.unique(np.array(found, np.int64), return_counts=True))
+    before = np.concatenate([[0], 1 + np.cumsum(times) - times, [1 + times.sum()]])
+
+    def places(keys: pd.Series, hashes: pd.Series) -> np.ndarray:
+        """The range of each row, in order of (key, hash): a point of several ranges has a share of the hashes in each."""
+        own, at = keys.to_numpy(np.int64), np.searchsorted(points, keys.to_numpy(np.int64), side="right")
+        if not len(points):
+            return at
+        i = np.maximum(at - 1, 0)
+        quarter = ((hashes.to_numpy(np.int64).view(U64) ^ U64(1 << 63)) >> U64(2)).astype(np.int64)
+        part = np.where(own == points[i], quarter // ((1 << 62) // times[i] + 1), times[i] - 1)
+        return np.where(at > 0, before[at] + part, 0)
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(places(keys, hashes).astype(np.int32))
+
+    # The ranges' first rows, of which there are no more than ranges.
+    heads = rows.select("key", "hash", place("key", "hash").alias("place")).groupBy("place").agg(F.min(F.struct("key", "hash")).alias("first")).collect()
+    heads = sorted((r.place, r.first["key"], r.first["hash"]) for r in heads)
+    follows = {(k, h): heads[i - 1][0] for i, (_, k, h) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        def of(i: int) -> list[int]:
-            here = bisect.bisect_right(bounds, i)
-            if i == least:
-                return [here, -1 - len(bounds)]
-            return [here, -here] if here and bounds[here - 1] == i else [here]
-
-        return ids.map(of)
+    def dealt_to(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = places(keys, hashes)
+        heads = np.isin(keys.to_numpy(np.int64), np.array([k for k, _ in follows], np.int64))
+        also = {i: follows.get((int(keys.iloc[i]), int(hashes.iloc[i]))) for i in np.flatnonzero(heads).tolist()}
+        return pd.Series([[p] if also.get(i) is None else [p, -1 - also[i]] for i, p in enumerate(out.tolist())])
 
     dealt = (
-        rows.withColumn("place", F.explode(places("key")))
+        rows.withColumn("place", F.explode(dealt_to("key", "hash")))
         .withColumn("tail", F.col("place") < 0)
         .withColumn("place", F.when(F.col("tail"), -F.col("place") - 1).otherwise(F.col("place")))
         .repartition(width(spark), "place")
-        .sortWithinPartitions("place", "tail", "key", "text")
+        .sortWithinPartitions("place", "tail", "key", "hash", "text")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
 

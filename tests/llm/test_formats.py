@@ -1,9 +1,13 @@
 import base64
 import hashlib
+import re
 
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tablewright.llm import chat_format as chat, scaled_sketch as sketch, warc_store as warc
+from tablewright.llm.words import sequence_hashes, word_hashes
 
 TURNS = "conv_id long, turn long, role string, text string, valid string, seq string"
 
@@ -84,12 +88,54 @@ def test_warc_files_round_trip(spark, tmp_path):
             list(warc.records_of(bad))
 
 
+def signed(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sketch(text):
+    """Distinct kept hashes of five-word shingles, one word sequence at a time."""
+    words = [w for w in re.split("[\\x09-\\x0d ]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    n = min(5, len(words))
+    found = set()
+    for i in range(len(words) - n + 1 if words else 0):
+        own, _ = word_hashes(pa.array([" ".join(words[i : i + n])]))
+        found.add(int(sequence_hashes(own, n, sketch.BASE)[0]))
+    kept = {h for h in found if h < (1 << 64) // sketch.SCALE}
+    return sorted(kept or sorted(found)[:1])
+
+
+def test_sketches_match_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()][:60]
+    rows = list(enumerate(texts)) + [(200, "Short ONE"), (201, None), (202, "\x1fa b\x0bc é\xa0f g h")] + [(None, f"{t} more") for t in texts[:30]] + [(None, "twice")] * 5
+    order = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in rows), key=lambda x: (x[0], signed(x[1])))
+    likeness = lambda a, b: float(a == b) if not a or not b else len(set(a) & set(b)) / len(a)
+    spelt = lambda hashes: "".join(f"{h:016x}" for h in hashes)
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = map(plain_sketch, (t, changed, after))
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), spelt(a), spelt(b), likeness(a, b), likeness(a, c)))
+    got = sketch.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -(1 << 63), *r[1:]) for r in got) == sorted(want)
+
+
+def test_sketch_of_one_id_and_a_very_long_text(spark):
+    rows = [(None, f"text number {i} of many") for i in range(500)] + [(1, "w " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sketch.fingerprint_neighbours(docs)
+    assert got.count() == 501 and got.where("n_chars = 600000").count() == 1
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) < 350, sizes
+
+
 def test_sketch_neighbours(spark):
     body = " ".join(f"w{i}" for i in range(400))
     rows = [(i, t, "x") for i, t in [(4, body), (1, body), (2, "short"), (9, None), (7, ""), (8, body[:900] + " other words here é😀"), (8, body)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
     got = sketch.fingerprint_neighbours(docs).collect()
-    order = sorted((i, t or "") for i, t, _ in rows)
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (x[0], signed(x[1])))
     want = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -106,8 +152,6 @@ def test_sketch_neighbours(spark):
 
 
 def test_sketch_estimates_and_merges():
-    import pyarrow as pa
-
     a = " ".join(f"a{i}" for i in range(9000))
     b = " ".join(f"a{i}" for i in range(3000))
     x, y, both = sketch.sketches(pa.array([a, b, a + " " + b]))
