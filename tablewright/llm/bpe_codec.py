@@ -9,19 +9,34 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
-from tablewright.llm.storage import lean, bound_batches
+from tablewright.llm.storage import as_rows, bound_batches, fields, lean, pieces
 
 NEVER = 1 << 62
 #: The vocabulary's own pattern, for lower-cased text of ASCII and western letters.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
+#: The normalizer and pre-tokenizer of the vocabulary file that this module stands for.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SPACES = re.compile(f"[{SPACE_CLASS}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -83,59 +98,60 @@ def merge_all(symbols: list[int], pairs: dict[int, int]) -> list[int]:
 
 
 class Codec:
-    """Encoding and decoding of whole texts under one vocabulary, kept by a Python worker.
+    """Encoding and decoding of whole texts under one vocabulary.
 
-    Parts of a text are (number of tokens, ids in decimal, decoded text), both joined by a space.
+    One memory holds the ids of words and of the pieces that words are cut into: a word that is its own only piece is
+    merged, any other is looked up piece by piece. A piece spelt in byte symbols by the library is a key of bytes.
     """
 
     def __init__(self, path: str):
-        self.merges, self.path = Merges(path), path
-        self.piece = Remembered(self.of_piece)
-        self.word = Remembered(self.of_word)
-        self.special = {s: (1, str(i), s) for s, i in self.merges.specials.items()}
-        self.spelt = {i: str(i) for i in self.merges.names}
-
-    def of_piece(self, piece: str) -> tuple[int, str, str]:
-        ids = merge_all(self.merges.symbols(piece), self.merges.pairs)
-        spelt = self.spelt
-        return len(ids), " ".join([spelt[i] for i in ids]), self.decode(ids)
-
-    def of_word(self, word: str) -> tuple[int, str, str]:
-        if word.isascii():
+        self.merges, self.path = Merges(path, NORMALIZER, PRE_TOKENIZER), path
+        self.known = Remembered(self.of)
+        self.names = pa.array([self.merges.names.get(i, "") for i in range(max(self.merges.names, default=-1) + 1)])
+        self.digits = pa.array([str(i) for i in range(len(self.names))])
+        #: Ids are remembered as the bytes of such numbers.
+        self.code = "H" if len(self.names) <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.special = {s: array(self.code, [i]).tobytes() for s, i in self.merges.specials.items()}
+
+    def of_piece(self, piece: str) -> bytes:
+        """Ids of a piece of ASCII or in byte symbols."""
+        return array(self.code, merge_all(self.merges.symbols(piece), self.merges.pairs)).tobytes()
+
+    def of(self, word: str | bytes) -> bytes:
+        """Ids of a word, or of a piece in byte symbols."""
+        if isinstance(word, bytes):
+            return self.of_piece(word.decode())
+        if word.isascii() or SIMPLE.fullmatch(word):
             pieces = PRETOKEN.findall(word.lower())
-        elif SIMPLE.fullmatch(word):
-            pieces = [p.translate(self.merges.spelling) for p in PRETOKEN.findall(word.lower())]
+            if len(pieces) == 1 and pieces[0] == word:
+                return self.of_piece(word if word.isascii() else word.translate(self.merges.spelling))
         else:
             tokenizer = library(self.path)
-            pieces = [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))]
-        if len(pieces) == 1:
-            return self.piece[pieces[0]]
-        parts = [self.piece[p] for p in pieces]
-        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            pieces = [x.encode() for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))]
+        return b"".join(map(self.known.__getitem__, pieces))
 
-    def decode(self, ids: list[int]) -> str:
-        """Token names joined by a space: the vocabulary has no decoder of its own. Special tokens stay."""
-        names = self.merges.names
-        return " ".join([names[i] for i in ids])
-
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.whole(text)[1].split()]
-
-    def whole(self, text: str) -> tuple[int, str, str]:
-        """The whole text as one part."""
-        parts: list[tuple[int, str, str]] = []
+    def ids(self, text: str) -> bytes:
+        """The whole text's ids as bytes."""
+        out: list[bytes] = []
         for segment, special in self.merges.segments(text):
             if special:
-                parts.append(self.special[segment])
+                out.append(self.special[segment])
             else:
                 words = [w for w in SPACES.split(segment) if w] if SEPARATORS.search(segment) else segment.split()
-                parts += map(self.word.__getitem__, words)
-        if not parts:
-            return 0, "", ""
-        counts, ids, plain = zip(*parts)
-        if 0 in counts:  # a word of which nothing is left
-            counts, ids, plain = zip(*[p for p in parts if p[0]] or [(0, "", "")])
-        return sum(counts), " ".join(ids), " ".join(plain)
+                out += map(self.known.__getitem__, words)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.ids(text), self.kind).tolist()
+
+    def joined(self, ids: pa.ListArray, of: pa.Array) -> list[bytes]:
+        """What ``of`` has for each list of ids, joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, of.take(ids.values)), " ").cast(pa.binary()).to_pylist()
+
+    def decode(self, ids: list[int]) -> str:
+        """Token names joined by a space: the vocabulary has no decoder of its own. Special tokens stay."""
+        return self.joined(pa.array([ids], pa.list_(pa.int32())), self.names)[0].decode()
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +164,8 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
 
     Adds n_tokens, ids_sha256, decoded_sha256 (lower-case hex of the ids in decimal joined by one space, and of the
     decoded text) and, with ``texts``, ids (array) and decoded (string). A null text is empty: no ids, decoded text "".
-    Every row gives a row. The column names of the result replace equal names of ``docs``; others are left.
+    Every row gives a row, whatever the length of its text. The column names of the result replace equal names of
+    ``docs``; others are left, whatever their names. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
@@ -156,22 +173,21 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            n, digest, plain_digest, ids, decoded = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                count, spelt, plain = bpe.whole(text) if text else (0, "", "")
-                n.append(count)
-                digest.append(hashlib.sha256(spelt.encode()).hexdigest())
-                plain_digest.append(hashlib.sha256(plain.encode()).hexdigest())
+        try:
+            for batch in pieces(fields(batches)):
+                found = [bpe.ids(text) if text else b"" for text in batch.column("text").to_pylist()]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // bpe.kind.itemsize
+                values = np.frombuffer(b"".join(found), bpe.kind).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+                decoded = bpe.joined(ids, bpe.names)
+                digests = [[hashlib.sha256(x).hexdigest() for x in joined] for joined in (bpe.joined(ids, bpe.digits), decoded)]
+                out = [pa.array(np.diff(offsets)), *map(pa.array, digests)]
                 if texts:
-                    ids.append(np.array(spelt.split(), np.int32) if spelt else np.zeros(0, np.int32))
-                    decoded.append(plain)
-            out = [pa.array(n, pa.int64()), pa.array(digest), pa.array(plain_digest)]
-            if texts:
-                out += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
-            yield pa.record_batch([*(batch.column(c) for c in kept), *out], names=[*kept, *made])
-
-    rows = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
-    types = {"n_tokens": "long", "ids": "array<int>"}
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} {types.get(c, 'string')}" for c in made]
-    return rows.mapInArrow(lean(run), ", ".join(schema))
+                    out += [ids, pa.array([x.decode() for x in decoded], pa.string())]
+                yield pa.record_batch([*(batch.column(c) for c in kept), *out], names=[*kept, *made])
+        finally:
+            bpe.known.forget()  # workers are kept for later tasks: what they remember is not
+
+    rows = docs.select(as_rows(docs, kept))
+    types = {"n_tokens": LongType(), "ids": ArrayType(IntegerType())}
+    return rows.mapInArrow(lean(run), StructType([*rows.schema["row"].dataType, *(StructField(c, types.get(c, StringType())) for c in made)]))

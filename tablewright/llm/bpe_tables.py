@@ -13,8 +13,10 @@ SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WESTERN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 #: Texts of ASCII and those letters only are split by this module's patterns, others by the library's own tables.
 SIMPLE = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
-#: Pieces remembered by a Python worker, and the longest piece that is worth remembering.
-CACHED, CACHED_CHARS = 300_000, 40
+#: Bytes of remembered pieces that a task may hold (estimated), and the longest piece that is worth remembering.
+CACHE_BYTES, CACHED_CHARS = 56_000_000, 40
+#: Estimated bytes of an entry besides its key's characters and its value's bytes.
+ENTRY = 160
 
 
 @lru_cache(maxsize=1)
@@ -28,10 +30,15 @@ def byte_symbols() -> list[str]:
 class Merges:
     """Ranks of adjacent symbols. ``pairs`` maps ``left << 20 | right`` to ``rank << 20 | merged symbol``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, normalizer: dict | None, pre_tokenizer: dict):
+        """The vocabulary at ``path``; ValueError unless its texts are normalized and cut as the caller does it."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if spec.get("normalizer") != normalizer or spec.get("pre_tokenizer") != pre_tokenizer:
+            raise ValueError(f"{path} normalizes or cuts texts in another way than this operator")
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has special strings that aren't taken as they stand")
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
         vocab: dict[str, int] = model["vocab"]
@@ -49,6 +56,7 @@ class Merges:
         for b, s in enumerate(byte_symbols()[:128]):  # ASCII may also be spelt as it is
             self.first[chr(b)], self.last[chr(b)] = self.first[s], self.last[s]
         self.spelling = {ord(c): "".join(byte_symbols()[b] for b in c.encode()) for c in WESTERN}
+        self.marks = {s[0] for s in self.specials}
         found = [re.escape(s) for s in sorted(self.specials, key=len, reverse=True)]
         self.special_pattern = re.compile("(" + "|".join(found) + ")") if found else None
 
@@ -61,7 +69,7 @@ class Merges:
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """(segment, is it a special string) in order; empty segments are left out."""
-        if self.special_pattern is None or "<" not in text:
+        if not any(mark in text for mark in self.marks):
             if text:
                 yield text, False
             return
@@ -71,20 +79,35 @@ class Merges:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a key, for a bounded number of short keys."""
+    """What ``make`` gives for a key; short keys are remembered within a number of bytes.
 
-    def __init__(self, make: Callable):
+    Half of it is for keys seen lately, half for those before them: when the first half is full it takes the place of the
+    other, so that what is looked up again and again stays.
+    """
+
+    def __init__(self, make: Callable, most: int = CACHE_BYTES):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.size = make, most, 0
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            size = ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.size + size > self.most // 2:
+                self.before = dict(self)
                 self.clear()
+                self.size = 0
+            self.size += size
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before, self.size = {}, 0
+
 
 @lru_cache(maxsize=4)
 def library(path: str):

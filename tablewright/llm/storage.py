@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 #: Bytes of text that an operator works on at once, unless a single text is longer; bytes of an Arrow batch.
-PIECE, BATCH = 2 << 20, "16m"
+PIECE, BATCH = 1 << 20, "8m"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -69,6 +70,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
                 ctypes.CDLL(None).malloc_trim(0)

@@ -16,12 +16,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.bpe_tables import SIMPLE, SPACE_CLASS, Merges, Remembered, library
-from tablewright.llm.storage import bound_batches
+from tablewright.llm.bpe_tables import CACHE_BYTES, SIMPLE, SPACE_CLASS, Merges, Remembered, library
+from tablewright.llm.storage import bound_batches, lean, pieces
 
 LIMIT = 1024
 #: The vocabulary's own pattern, for text of ASCII and western letters.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
+#: Fixed value: the pre-tokenizer of the vocabulary file that this module stands for; it has no normalizer.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: A space that may belong to a longer run of white space.
 RUN = re.compile(f" (?:[{SPACE_CLASS}]|\\Z)")
 
@@ -71,11 +73,15 @@ class Counter:
     """Counts of whole texts under one vocabulary, kept by a Python worker."""
 
     def __init__(self, path: str):
-        self.merges, self.path = Merges(path), path
+        self.merges, self.path = Merges(path, None, PRE_TOKENIZER), path
         self.piece = Remembered(lambda piece: merged_length(self.merges.symbols(piece), self.merges.pairs))
-        self.chunk = Remembered(self.of_chunk)
+        self.chunk = Remembered(self.of_chunk, CACHE_BYTES // 4)
         self.after_space = Remembered(lambda rest: self.of_chunk(" " + rest))
 
+    def forget(self) -> None:
+        for memory in (self.piece, self.chunk, self.after_space):
+            memory.forget()
+
     def of_chunk(self, chunk: str) -> int:
         if chunk.isascii():
             return sum([self.piece[x] for x in PRETOKEN.findall(chunk)])
@@ -112,16 +118,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array([counts.count(t) if t else 0 for t in texts], pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens"],
-            )
+        try:
+            for batch in pieces(batches):
+                texts = batch.column(1).to_pylist()
+                yield pa.record_batch(
+                    [batch.column(0), batch.column(2), pa.array([counts.count(t) if t else 0 for t in texts], pa.int64())],
+                    names=["doc_id", "n_bytes", "n_tokens"],
+                )
+        finally:
+            counts.forget()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return (
         docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-        .mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+        .mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Odd multipliers (fixed values: the golden ratio and the finaliser constants of a public 64-bit mixer).
 STEP = U64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -127,8 +127,7 @@ def split_words(texts: pa.Array) -> Split:
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     inside, begin, end = _bounds(data, offsets - offsets[0])
     starts = np.searchsorted(begin, offsets - offsets[0])
-    letters = np.cumsum(inside)
-    ends = letters[end - 1]
+    ends = np.cumsum(end - begin)
     edges = np.concatenate([[0], ends]).astype(np.int32)
     found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(data[inside])]).dictionary_encode()
     ids = found.indices.to_numpy().astype(np.int64)
@@ -136,7 +135,7 @@ def split_words(texts: pa.Array) -> Split:
     # A word and its length of letters say where it stands once every word is followed by one space.
     at = np.arange(len(begin), dtype=np.int64)
     spaced = np.full(int(ends[-1]) + len(begin), 32, np.uint8)
-    spaced[np.arange(int(ends[-1])) + np.repeat(at, end - begin)] = data[inside]
+    spaced[np.arange(int(ends[-1]), dtype=np.int32) + np.repeat(at.astype(np.int32), end - begin)] = data[inside]
     return Split(ids, hashes[ids], starts, spaced.tobytes(), edges[:-1] + at, ends + at)
 
 

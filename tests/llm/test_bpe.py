@@ -39,7 +39,31 @@ def test_codec_matches_library(spark):
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
 
-@pytest.mark.parametrize("f", [bpe_codec.encode_decode, token_counts.token_counts])
-def test_empty(spark, f):
+@pytest.mark.parametrize("f, name", [(bpe_codec.encode_decode, "word_bpe_49k.json"), (token_counts.token_counts, "byte_bpe_50k.json")])
+def test_empty(spark, f, name):
+    assert f(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path(name)).count() == 0
+
+
+def test_other_vocabularies_are_refused():
+    for make, name in ((bpe_codec.Codec, "byte_bpe_50k.json"), (token_counts.Counter, "word_bpe_49k.json")):
+        with pytest.raises(ValueError, match="cuts texts in another way"):
+            make(public_tokenizers.path(name))
+
+
+def test_memory_is_bounded_and_forgotten():
+    codec = bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    codec.known.most = 20_000
+    text = " ".join(f"w{i}ord" for i in range(3000))
+    ids = codec.encode(text)
+    assert codec.known.size <= 10_000 and len(codec.known.before) <= 60 and ids == Tokenizer.from_file(codec.path).encode(text, add_special_tokens=False).ids
+    codec.known.forget()
+    assert not codec.known and not codec.known.before and codec.known.size == 0
+
+
+def test_dotted_columns_and_a_very_long_text(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert f(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    text = "One two, three! " * 200_000
+    docs = spark.createDataFrame([(1, text, "p", "q")], "doc_id long, text string, `a.b` string, `n_tokens` string").withColumnRenamed("n_tokens", "we`ird")
+    row = bpe_codec.encode_decode(docs, path).first()
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert row.ids == ids and row["a.b"] == "p" and row["we`ird"] == "q"
