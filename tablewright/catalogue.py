@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.operators import compare, health, modes, seeded
 from tablewright.operators.rows import row_column
 from tablewright.operators.summary import op, summarise
+from tablewright.plans import language
+from tablewright.sources.sinks import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,14 +176,7 @@ def narm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narm_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paired(_table(spark, sf_dir, "events").where("event_id < 400"))
-
-
-def narm_paired_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paired(_table(spark, sf_dir, "events"))
-
-
-def _paired(events: DataFrame) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
     x = F.when(F.col("event_id") % 5 == 0, "NA").otherwise(F.col("event_id").cast("string"))
     y = F.when(F.col("event_id") % 5 == 1, "NA").otherwise((F.col("event_id") * 2).cast("string"))
     df = events.select("event_id", x.alias("x"), y.alias("y"))
@@ -247,8 +242,10 @@ def top_n_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
-    return df.where("o_orderkey % 2 = 0 and o_orderpriority <> '5-LOW'"), df.where("o_orderkey % 2 = 1 and o_orderpriority <> '1-URGENT'")
+    df = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice", "o_orderdate")
+    renamed = lambda old, new: F.when(F.col("o_orderpriority") == old, new).otherwise(F.col("o_orderpriority"))
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("date")
+    return df.where(early).withColumn("o_orderpriority", renamed("5-LOW", "5-LAST")), df.where(~early).withColumn("o_orderpriority", renamed("1-URGENT", "0-NOW"))
 
 
 def _compared(rank: int | None = None, by: str = "absolute", limit: int | None = None, keys: Sequence[str] = ("o_orderpriority",)) -> Query:
@@ -278,7 +275,68 @@ def health_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", "basis", F.col("field").cast("long").alias("field"), "n", first.cast("long").alias("first_row"))
 
 
+def _command(args: str, columns: str, table: str, lines: Callable[[DataFrame], DataFrame]) -> Query:
+    """A command over a table written as lines of text, its output lines cut into the columns of a result."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "lines")
+        lines(_table(spark, sf_dir, table)).select("value").write.text(path)
+        out = language.run(spark, args.split(" "), path)
+        separator = "," if "--csv" in args else " " if "--vnlog" in args else "\t"
+        fields = F.split("value", separator, -1)
+        made = out if "-H" not in args and "--vnlog" not in args else out.where(~F.col("value").rlike("GroupBy|^# "))
+        return made.select(*[fields[i].cast(c.split(":")[1]).alias(c.split(":")[0]) for i, c in enumerate(columns.split(" "))])
+
+    return query
+
+
+def _joined(separator: str, *fields: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.select(F.concat_ws(separator, *fields).alias("value"))
+
+
+def _with_header(header: str, separator: str, *fields: str) -> Callable[[DataFrame], DataFrame]:
+    """Lines of one file whose first is the header."""
+
+    def lines(df: DataFrame) -> DataFrame:
+        body = df.select(F.concat_ws(separator, *fields).alias("value"), F.lit(1).alias("place"))
+        top = df.sparkSession.createDataFrame([(header, 0)], "value string, place int")
+        return top.unionByName(body).coalesce(1).sortWithinPartitions("place")
+
+    return lines
+
+
+_ORDER_FIELDS = ("o_orderkey", "o_custkey", "o_orderpriority")
+COMMANDS: dict[str, Query] = {
+    "txt_sorted": _command("-s -g 3 count 1 max 1 countunique 2", "k:string n:long most:long customers:long", "orders", _joined("\t", *_ORDER_FIELDS)),
+    "txt_separator": _command("-t | -s -g 3 --output-delimiter=\t min 1 last 3", "k:string least:long last:string", "orders", _joined("|", *_ORDER_FIELDS)),
+    "txt_whitespace": _command("-W -s -g 1 sum 2", "k:string total:long", "orders", _joined("   ", "o_orderstatus", "o_custkey")),
+    "txt_comments": _command("-C -s -g 1 count 2", "k:string n:long", "orders", lambda df: df.select(F.concat(F.when(F.col("o_orderkey") % 3 == 0, "# ").otherwise(""), "o_orderstatus", F.lit("\t"), "o_orderkey").alias("value"))),
+    "txt_header": _command("-H -s -g status max key", "k:string most:long", "orders", _with_header("status\tkey", "\t", "o_orderstatus", "o_orderkey")),
+    "txt_vnlog": _command("--vnlog -s -g status max key", "k:string most:long", "orders", _with_header("# status key", " ", "o_orderstatus", "o_orderkey")),
+    "txt_csv": _command("--csv -H -s -g who sum key", "k:string total:long", "orders", _with_header('"who",key', ",", "o_orderpriority", "o_orderkey")),
+    "txt_narm": _command("--narm -s -g 1 count 2 sum 2", "k:string n:long total:long", "orders", lambda df: df.select(F.concat_ws("\t", "o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, "N/A").otherwise(F.col("o_custkey").cast("string"))).alias("value"))),
+    "txt_cut": _command("cut 3,1", "priority:string key:long", "orders", _joined("\t", *_ORDER_FIELDS)),
+    "txt_check": _command("check", "value:string", "orders", _joined("\t", *_ORDER_FIELDS)),
+    "txt_reverse": _command("reverse", "priority:string customer:long key:long", "orders", _joined("\t", *_ORDER_FIELDS)),
+    "txt_round": _command("-R 2 -s -g 1 mean 2", "k:string average:string", "nation", _joined("\t", "n_regionkey", "n_nationkey")),
+    "txt_format": _command("-s -g 1 --format %08.1f sum 2", "k:string total:string", "nation", _joined("\t", "n_regionkey", "n_nationkey")),
+    "txt_top": _command("-s -g 3 top:2 1", "key:long customer:long priority:string", "orders", _joined("\t", *_ORDER_FIELDS)),
+    "txt_top_narm": _command(
+        "--narm -i -s -g 2 bottom:1 1", "key:long priority:string", "orders",
+        lambda df: df.select(F.concat_ws("\t", F.when(F.col("o_orderkey") % 3 == 0, "nan").otherwise(F.col("o_orderkey").cast("string")), F.when(F.col("o_custkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))).alias("value")),
+    ),
+    "txt_exact": _command("--exact --narm -s -g 1 sum 2 max 2", "k:string total:long most:long", "orders", lambda df: df.select(F.concat_ws("\t", "o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, "NA").otherwise(F.col("o_custkey").cast("string"))).alias("value"))),
+}
+
+
+def agg_absmax_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("c_custkey") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    df = _table(spark, sf_dir, "customer").withColumn("v", value)
+    return summarise(df, [op("absmin", "v", alias="least"), op("absmax", "v", alias="most")], ["c_nationkey"], "c_custkey").where("not isnan(least)")
+
+
 QUERIES: dict[str, Query] = {
+    **COMMANDS,
     **{f"agg_{k}": _grouped(t, key, k, fields, digits, param, rid) for k, (t, key, fields, param, digits, rid, _) in SUMMARIES.items()},
     "agg_mode": _grouped(*_BY_FLAG, "mode", ["l_quantity"], None),
     "agg_antimode": _grouped(*_BY_FLAG, "antimode", ["l_quantity"], None),
@@ -290,13 +348,16 @@ QUERIES: dict[str, Query] = {
 } | {
     f.__name__: f
     for f in (
-        row_debase64, grp_sorted, grp_multi_key, grp_whole, grp_adjacent, grp_ignore_case, grp_full, grp_high_cardinality, narm_summary, narm_paired, narm_paired_whole, rand_seeded, tbl_rmdup, tbl_check, tbl_reverse,
-        tbl_transpose, tbl_noop, ct_count, ct_max, ct_unsorted, top_n, bottom_n, top_n_grouped, top_n_adjacent, health_counts, health_findings,
+        row_debase64, grp_sorted, grp_multi_key, grp_whole, grp_adjacent, grp_ignore_case, grp_full, grp_high_cardinality, narm_summary, narm_paired, rand_seeded, tbl_rmdup, tbl_check, tbl_reverse,
+        tbl_transpose, tbl_noop, ct_count, ct_max, ct_unsorted, top_n, bottom_n, top_n_grouped, top_n_adjacent, health_counts, health_findings, agg_absmax_nan,
     )
 }
 
 _RUNS = "select *, sum(changed) over (order by event_id rows unbounded preceding) as gid from (select *, case when lag({0}) over (order by event_id) is not distinct from {0} then 0 else 1 end as changed from {1})"
-_SIDES = "select * from orders where o_orderkey % 2 = 0 and o_orderpriority <> '5-LOW'", "select * from orders where o_orderkey % 2 = 1 and o_orderpriority <> '1-URGENT'"
+_SIDES = (
+    "select * replace (case when o_orderpriority = '5-LOW' then '5-LAST' else o_orderpriority end as o_orderpriority) from orders where o_orderdate < date '1998-01-01'",
+    "select * replace (case when o_orderpriority = '1-URGENT' then '0-NOW' else o_orderpriority end as o_orderpriority) from orders where o_orderdate >= date '1998-01-01'",
+)
 
 
 def _compare_sql(keys: bool, state: str, order: str | None = None, limit: int | None = None) -> str:
@@ -325,7 +386,26 @@ _CLASSED = f"""(select *, case when v is null then 'absent' when v = '' then 'em
 _COUNTED = f"""(select pos, {', '.join(f"count(*) filter (class = '{c}') as {c}" for c in health.CLASSES)} from {_CLASSED} group by pos)"""
 _TYPED = f"(select *, case when integer + other_number > text then case when other_number = 0 then 'integer' else 'number' end when text > integer + other_number then 'text' else 'undetermined' end as inferred from {_COUNTED})"
 
+_MAYBE = "(select o_orderstatus as k, case when o_orderkey % 4 = 0 then null else o_custkey end as v from orders)"
 ORACLES: dict[str, str] = {
+    "txt_sorted": "select o_orderpriority as k, count(*) as n, max(o_orderkey) as most, count(distinct o_custkey) as customers from orders group by 1",
+    "txt_separator": "select o_orderpriority as k, min(o_orderkey) as least, o_orderpriority as last from orders group by 1",
+    "txt_whitespace": "select o_orderstatus as k, sum(o_custkey)::bigint as total from orders group by 1",
+    "txt_comments": "select o_orderstatus as k, count(*) as n from orders where o_orderkey % 3 <> 0 group by 1",
+    "txt_header": "select o_orderstatus as k, max(o_orderkey) as most from orders group by 1",
+    "txt_vnlog": "select o_orderstatus as k, max(o_orderkey) as most from orders group by 1",
+    "txt_csv": "select o_orderpriority as k, sum(o_orderkey)::bigint as total from orders group by 1",
+    "txt_narm": f"select k, count(v) as n, sum(v)::bigint as total from {_MAYBE} group by 1",
+    "txt_cut": "select o_orderpriority as priority, o_orderkey as key from orders",
+    "txt_check": "select count(*)::varchar || ' lines, 3 fields' as value from orders",
+    "txt_reverse": "select o_orderpriority as priority, o_custkey as customer, o_orderkey as key from orders",
+    "txt_round": "select n_regionkey::varchar as k, printf('%.2f', avg(n_nationkey)) as average from nation group by 1",
+    "txt_format": "select n_regionkey::varchar as k, printf('%08.1f', sum(n_nationkey)::double) as total from nation group by 1",
+    "txt_top": "select o_orderkey as key, o_custkey as customer, o_orderpriority as priority from orders qualify row_number() over (partition by o_orderpriority order by o_orderkey desc) <= 2",
+    "txt_top_narm": "select o_orderkey as key, case when o_custkey % 2 = 0 then lower(o_orderpriority) else o_orderpriority end as priority from orders where o_orderkey % 3 <> 0 qualify row_number() over (partition by lower(o_orderpriority) order by o_orderkey) = 1",
+    "txt_exact": f"select k, sum(v)::bigint as total, max(v)::bigint as most from {_MAYBE} group by 1",
+    "agg_absmax_nan": """select c_nationkey, arg_min(c_acctbal, abs(c_acctbal)) filter (c_custkey % 7 <> 3) as least, arg_max(c_acctbal, abs(c_acctbal)) filter (c_custkey % 7 <> 3) as most
+  from customer group by 1 having min(c_custkey) % 7 <> 3""",
     **{f"agg_{k}": f"select {key}, {f'round({sql}, {digits})' if digits is not None else sql} as value from {t} group by {key}" for k, (t, key, _, _, digits, _, sql) in SUMMARIES.items()},
     **{
         f"agg_{k}": f"select l_returnflag, arg_min(l_quantity, ({sign}n, l_quantity)) as value from (select l_returnflag, l_quantity, count(*) as n from lineitem group by all) group by l_returnflag"
@@ -341,8 +421,7 @@ ORACLES: dict[str, str] = {
     "grp_full": "select o_orderkey, o_custkey, o_orderpriority, o_totalprice, o_totalprice as most from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r from orders) where r = 1",
     "grp_high_cardinality": "select l_orderkey, count(*) as n, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) as lines from lineitem group by 1",
     "narm_summary": f"select event_type, count(v) as n, coalesce(round(sum(v), 4), 0) as total, coalesce(min(v), '-inf'::double) as least, coalesce(max(v), 'inf'::double) as most, coalesce(round(avg(v), 4), 'nan'::double) as average from {_MISSING_SQL} group by 1",
-    "narm_paired": "select sum(x.v * y.v)::double as value from (select event_id as v, row_number() over (order by event_id) as r from events where event_id < 400 and event_id % 5 <> 0) x join (select event_id * 2 as v, row_number() over (order by event_id) as r from events where event_id < 400 and event_id % 5 <> 1) y using (r)",
-    "narm_paired_whole": "select sum(x.v * y.v)::double as value from (select event_id as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 0) x join (select event_id * 2 as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 1) y using (r)",
+    "narm_paired": "select sum(x.v * y.v)::double as value from (select event_id as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 0) x join (select event_id * 2 as v, row_number() over (order by event_id) as r from events where event_id % 5 <> 1) y using (r)",
     "tbl_rmdup": "select arg_min(event_id, event_id) as event_id, user_id, arg_min(event_type, event_id) as event_type from events group by user_id",
     "tbl_check": "select count(*) as n_lines, 6::bigint as n_fields from orders",
     "tbl_reverse": "select n_regionkey, n_name, n_nationkey from nation",

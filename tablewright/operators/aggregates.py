@@ -71,24 +71,24 @@ def _iqr(s: Sample) -> Column:
     return quartiles[2] - quartiles[0]
 
 
-def _extreme(pick: Callable[[Column], Column]) -> Callable[[Sample], Column]:
-    """NaN never replaces a number; a NaN that comes first stays, if row order is known."""
+def _unless_nan(s: Sample, value: Column) -> Column:
+    """The extreme of the numbers: NaN replaces none of them, but one that comes first stays, if row order is known."""
+    value = F.coalesce(value, F.when(F.count(s.number) > 0, NAN))
+    if s.rid is None:
+        return value
+    first = F.min_by(s.number, F.when(s.number.isNotNull(), s.rid))
+    return F.when(F.isnan(first), first).otherwise(value)
 
-    def build(s: Sample) -> Column:
-        value = pick(F.when(~F.isnan(s.number), s.number))
-        if s.rid is None:
-            return value
-        first = F.min_by(s.number, F.when(s.number.isNotNull(), s.rid))
-        return F.when(F.isnan(first), first).otherwise(value)
 
-    return build
+def _extreme(pick: Callable[[Column], Column]) -> Callable[[Sample], Column]:
+    return lambda s: _unless_nan(s, pick(F.when(~F.isnan(s.number), s.number)))
 
 
 def _by_magnitude(pick: Callable, sign: int) -> Callable[[Sample], Column]:
     def build(s: Sample) -> Column:
         size = F.abs(s.number)
-        key = F.when(s.number.isNotNull(), F.struct(size, s.rid.cast("long") * sign) if s.rid is not None else F.struct(size, s.number))
-        return pick(s.number, key)
+        key = F.struct(size, s.rid.cast("long") * sign) if s.rid is not None else F.struct(size, s.number)
+        return _unless_nan(s, pick(s.number, F.when(s.number.isNotNull() & ~F.isnan(s.number), key)))
 
     return build
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.errors import Refusal
 from tablewright.functions.display import parse_format
+from tablewright.functions.values import fold, unless_missing
 from tablewright.operators.summary import Op, quoted
 from tablewright.plans.order import islands
 
@@ -85,26 +86,45 @@ def show_long(value: np.longdouble, format: str = "%.14g") -> str:
     return f"{mantissa}e{'-' if e < 0 else '+'}{abs(e):02d}"
 
 
-def exact_summary(df: DataFrame, ops: Sequence[Op], rid: str, keys: Sequence[str] = (), sort: bool = True, format: str = "%.14g") -> DataFrame:
-    """Results as text, a row for each group, of the operations in ``EXACT``; values are read from text columns."""
+#: What an empty sample gives; NaN for the others.
+NOTHING = {"sum": 0.0, "min": -np.inf, "max": np.inf}
+
+
+def _numbers(values: pd.Series) -> Numbers:
+    return np.array([np.longdouble(v.strip()) for v in values.dropna()], np.longdouble)
+
+
+def exact_summary(
+    df: DataFrame, ops: Sequence[Op], rid: str, keys: Sequence[str] = (), sort: bool = True, format: str = "%.14g", narm: bool = False, ignore_case: bool = False
+) -> DataFrame:
+    """Results as text, a row for each group, of the operations in ``EXACT``; values are read from text columns.
+
+    ``narm`` skips missing values; ``ignore_case`` folds A-Z in keys and shows a group's first spelling.
+    """
     for o in ops:
         if o.name not in EXACT:
             raise Refusal(f"operation '{o.name}' has no extended form")
     fields = sorted({o.fields[0] for o in ops})
-    rows = df.select(*[quoted(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)], quoted(rid).alias("_rid"), *[quoted(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)])
-    group = [f"_k{i}" for i in range(len(keys))]
+    shown, group = [f"_k{i}" for i in range(len(keys))], [f"_g{i}" for i in range(len(keys))]
+    spelt = [quoted(k).cast("string") for k in keys]
+    rows = df.select(
+        *[c.alias(k) for c, k in zip(spelt, shown)],
+        *[(fold(c) if ignore_case else c).alias(g) for c, g in zip(spelt, group)],
+        quoted(rid).alias("_rid"),
+        *[unless_missing(quoted(f), df.schema[f].dataType, narm).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)],
+    )
     if keys and not sort:
         rows = islands(rows, [F.col(g) for g in group], "_rid")
-        group = ["_gid", *group]
+        group = ["_gid"]
     out = [f"_r{i}" for i in range(len(ops))]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_rid")
-        numbers = {f: np.array([np.longdouble(v.strip()) for v in part[f"_f{i}"]], np.longdouble) for i, f in enumerate(fields)}
-        row = {g: part[g].iloc[0] for g in group} | {c: show_long(EXACT[o.name](numbers[o.fields[0]]), format) for c, o in zip(out, ops)}
-        return pd.DataFrame([row])
+        numbers = {f: _numbers(part[f"_f{i}"]) for i, f in enumerate(fields)}
+        found = [EXACT[o.name](numbers[o.fields[0]]) if len(numbers[o.fields[0]]) else np.longdouble(NOTHING.get(o.name, np.nan)) for o in ops]
+        return pd.DataFrame([{g: part[g].iloc[0] for g in [*group, *shown]} | {c: show_long(x, format) for c, x in zip(out, found)}])
 
-    schema = ", ".join([f"{g} {'long' if g == '_gid' else 'string'}" for g in group] + [f"{c} string" for c in out])
+    schema = ", ".join([f"{g} {'long' if g == '_gid' else 'string'}" for g in [*group, *shown]] + [f"{c} string" for c in out])
     made = rows.groupBy(*group).applyInPandas(run, schema)
     ordered = made.orderBy(*group) if group else made
     return ordered.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(c).alias(o.label) for c, o in zip(out, ops)])

@@ -9,7 +9,7 @@ from pyspark.sql.types import FractionalType
 
 from tablewright.errors import Refusal, UserError
 from tablewright.functions.display import shown
-from tablewright.functions.values import fold, number
+from tablewright.functions.values import fold, number, unless_missing
 from tablewright.operators.summary import Op, aggregates, op, quoted
 from tablewright.plans.order import islands, ordinals
 
@@ -40,9 +40,10 @@ def check_widths(df: DataFrame, rid: str) -> DataFrame:
     """
     widths = df.select(quoted(rid).alias("rid"), F.size("fields").alias("width"))
     runs = islands(widths, [F.col("width")], "rid")
-    second = runs.where("_gid <= 2").groupBy("_gid").agg(F.min_by("width", "rid").alias("width"), F.min("rid").alias("rid"))
-    first = F.max(F.when(F.col("_gid") == 1, F.col("width")))
-    return second.agg(F.max(F.when(F.col("_gid") == 2, F.col("rid"))).alias("rid"), F.max(F.when(F.col("_gid") == 2, F.col("width"))).alias("width"), first.alias("previous")).where("rid is not null")
+    # A run's first row has its rid; the two least of them, each a row, are all that is needed.
+    two = runs.where(F.col("rid") == F.col("_gid")).orderBy("rid").limit(2)
+    place = [F.min_by("width", "rid").alias("previous"), F.max_by("width", "rid").alias("width"), F.max("rid").alias("rid"), F.count("*").alias("n")]
+    return two.agg(*place).where("n = 2").select("rid", "width", "previous")
 
 
 def check(df: DataFrame, lines: int | None = None, fields: int | None = None, rid: str | None = None) -> DataFrame:
@@ -84,11 +85,18 @@ def remove_duplicates(df: DataFrame, keys: Sequence[str], rid: str, sort: bool =
     return firsts.orderBy("_key" if sort else "_rid").select("_row.*")
 
 
-def top(df: DataFrame, field: str, n: int, rid: str, bottom: bool = False, group: Sequence[str] = (), sort: bool = True) -> DataFrame:
-    """Complete rows of the ``n`` largest (or smallest) numbers, of each group if there is one; ties: earlier rows."""
+def top(df: DataFrame, field: str, n: int, rid: str, bottom: bool = False, group: Sequence[str] = (), sort: bool = True, narm: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Complete rows of the ``n`` largest (or smallest) numbers, of each group if there is one; ties: earlier rows.
+
+    ``narm`` leaves out rows whose ranked field is missing, ``ignore_case`` folds A-Z in keys.
+    """
     if n < 1:
         raise UserError("a selection takes one record or more")
-    value = number(quoted(field), df.schema[field].dataType, field)
+    kind = df.schema[field].dataType
+    if narm:
+        df = df.where(unless_missing(quoted(field), kind, True).isNotNull())
+    value = number(quoted(field), kind, field)
+    keys = [fold(quoted(g).cast("string")) if ignore_case else quoted(g) for g in group]
     # A filter, so that every row is looked at whatever the selection needs.
     unranked = F.raise_error(F.lit(f"a value of {field} is NaN and cannot be ranked")).cast("boolean")
     rows = df.where(F.when(F.isnan(value), unranked).otherwise(F.lit(True))).withColumn("_value", value)
@@ -96,10 +104,10 @@ def top(df: DataFrame, field: str, n: int, rid: str, bottom: bool = False, group
     if not group:
         return rows.orderBy(*order).limit(n).drop("_value")
     if not sort:
-        rows, part = islands(rows, [quoted(g) for g in group], rid), ["_gid"]
+        rows, part = islands(rows, keys, rid), ["_gid"]
     else:
         part = [f"_g{i}" for i in range(len(group))]
-        rows = rows.withColumns({p: quoted(g) for p, g in zip(part, group)})
+        rows = rows.withColumns(dict(zip(part, keys)))
     chosen = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_place") <= n)
     return chosen.orderBy(*part, "_place").select(*[quoted(c) for c in df.columns])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,18 +51,20 @@ def bin_of(v: Column, size: float) -> Column:
 def string_bin(text: Column, bins: int) -> Column:
     """A bin from 0 for any text: a rotating 64-bit hash of its bytes, modulo ``bins``."""
 
-    def one(value: str | None) -> int | None:
-        if value is None:
-            return None
-        h = 0
-        for byte in value.encode():
-            h = ((h << 9 | h >> 55) + byte) & 0xFFFFFFFFFFFFFFFF
-        return h % bins
-
     @F.pandas_udf("long")
     def run(values: pd.Series) -> pd.Series:
-        known = {v: one(v) for v in values.unique()}
-        return values.map(known)
+        coded = [v.encode() for v in values.dropna()]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        data, begin = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(size) - size
+        # The longest first: byte i of all texts that have one is a step of them together.
+        by = np.argsort(-size, kind="stable")
+        begin, longer = begin[by], np.searchsorted(-size[by], -np.arange(int(size.max(initial=0))), side="left")
+        h = np.zeros(len(coded), np.uint64)
+        for i, n in enumerate(longer.tolist()):
+            h[:n] = (h[:n] << np.uint64(9) | h[:n] >> np.uint64(55)) + data[begin[:n] + i]
+        out = np.empty(len(coded), np.int64)
+        out[by] = h % np.uint64(bins)
+        return pd.Series(out, index=values.dropna().index).reindex(values.index).astype("Int64")
 
     return run(text)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.operators.summary import Op, quoted
+from tablewright.operators.summary import Op, aggregates, parsed, quoted, representative
 from tablewright.functions.values import fold, unless_missing
 from tablewright.plans.order import islands
 
@@ -68,17 +68,33 @@ def draws(seed: int, first: int, count: int) -> np.ndarray:
     return (values[:count] >> np.uint64(1)).astype(np.int64)
 
 
-def seeded_rand(df: DataFrame, ops: Sequence[Op], seed: int, rid: str, keys: Sequence[str] = (), sort: bool = True, narm: bool = False, ignore_case: bool = False) -> DataFrame:
+def seeded_rand(
+    df: DataFrame,
+    ops: Sequence[Op],
+    seed: int,
+    rid: str,
+    keys: Sequence[str] = (),
+    sort: bool = True,
+    narm: bool = False,
+    ignore_case: bool = False,
+    full: bool = False,
+    delimiter: str = ",",
+) -> DataFrame:
     """One chosen value for each ``rand`` operation and group, the same for a seed however the rows are dealt out.
 
     Rows draw in group order and then row order, once for each request; a row's value replaces the choice if it is its
-    group's first or its draw divides by its place in the group. Null is chosen where every value is missing.
+    group's first or its draw divides by its place in the group. ``N/A`` is chosen where every value is missing. Other
+    operations among ``ops`` draw nothing. ``full`` puts every column of the group's representative row first.
     """
+    columns, every = df.columns, ops
+    ops, others = ([o for o in every if (o.name == "rand") == x] for x in (True, False))
+    whole, df = df, parsed(df, others, narm)
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
     if sort or not keys:
         rows = df.withColumn("_group", F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)]) if keys else F.struct(F.lit(0).alias("g0")))
     else:
         rows = islands(df, group, rid).withColumn("_group", F.struct(F.col("_gid").alias("g0"))).drop("_gid")
+    made = aggregates(rows, others, rid, narm, delimiter, ignore_case)
     present = [unless_missing(quoted(o.fields[0]), df.schema[o.fields[0]].dataType, narm).cast("string") for o in ops]
     # A missing value draws nothing: a row's draws are numbered by the present values before it, request by request.
     within = Window.partitionBy("_group").orderBy(rid)
@@ -110,5 +126,11 @@ def seeded_rand(df: DataFrame, ops: Sequence[Op], seed: int, rid: str, keys: Seq
         chosen.append(F.coalesce(F.max_by(f"_v{i}", f"_k{i}"), F.lit("N/A")).alias(o.label))
         ordinal = ordinal + F.col(f"_v{i}").isNotNull().cast("long")
     shown = [F.min_by(quoted(k), quoted(rid)).alias(f"_s{i}") for i, k in enumerate(keys)]
-    made = rows.groupBy("_group").agg(*shown, *chosen).orderBy("_group")
-    return made.select(*[F.col(f"_s{i}").alias(k) for i, k in enumerate(keys)], *[quoted(o.label) for o in ops])
+    picks = [F.max(f"_k{i}") for i in range(len(ops))]
+    extra = [F.greatest(representative(rows, others, rid, narm, "."), *picks).alias("_rep")] if full else []
+    result = rows.groupBy("_group").agg(F.count("*").alias("_count"), *shown, *extra, *chosen, *made).orderBy("_group")
+    values = [quoted(o.label) for o in every]
+    if full:
+        kept = whole.select(quoted(rid).alias("_rep"), F.struct(*[quoted(c) for c in columns]).alias("_row"))
+        return result.join(kept, "_rep").orderBy("_group").select("_row.*", *values)
+    return result.select(*[F.col(f"_s{i}").alias(k) for i, k in enumerate(keys)], *values)

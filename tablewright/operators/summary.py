@@ -128,7 +128,7 @@ def _paired(df: DataFrame, group: list[str], o: Op, rid: str, separator: str) ->
     return pairs.groupBy(*group).agg(REGISTRY[o.name].build(x, y).alias(o.label))
 
 
-def _representative(df: DataFrame, ops: Sequence[Op], rid: str, narm: bool, separator: str) -> Column:
+def representative(df: DataFrame, ops: Sequence[Op], rid: str, narm: bool, separator: str) -> Column:
     """The rid of the row that stands for a group: its first row, unless a later one became an operation's choice."""
     samples = _Samples(df, rid, narm, ",", False, separator)
     own = quoted(rid)
@@ -182,7 +182,7 @@ def summarise(
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
     shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(f"_s{i}") for i, k in enumerate(keys)]
-    extra = [_representative(df, ops, rid, narm, separator).alias("_rep")] if full else []
+    extra = [representative(df, ops, rid, narm, separator).alias("_rep")] if full else []
     if not keys:
         df, by = df.withColumn("_g0", F.lit(0)), ["_g0"]
     elif sort:

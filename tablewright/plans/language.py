@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import getopt
 import re
+import secrets
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -280,6 +281,8 @@ def parse(args: Sequence[str]) -> Command:
         requests = _requests(words)
         if requests[0].name in ROW_OPS and keys:
             raise UserError("per-row operations take no groups")
+        if o.exact and o.full:
+            raise Refusal("full rows with extended precision aren't supported")
         return Command(o, "rows" if requests[0].name in ROW_OPS else "summary", requests, keys)
     mode = {"nop": "noop", "dedup": "rmdup", "ct": "crosstab"}.get(head, head)
     if o.csv_in and mode in ("crosstab", "transpose", "reverse", "check", "noop", "rmdup"):
@@ -372,19 +375,19 @@ def run(spark: SparkSession, args: Sequence[str], path: str | None = None) -> Da
         shown_keys = [f"GroupBy({labels[k]})" for k in keys]
         names = shown_keys + [_label(r, cols, labels) for r, cols in wanted]
         if o.exact:
-            result = exact_summary(df, ops, "rid", keys, o.sort, o.format)
-        elif any(x.name == "rand" for x in ops) and o.seed is not None:
-            picked = [x for x in ops if x.name == "rand"]
-            if len(picked) != len(ops):
-                raise Refusal("a seeded selection doesn't mix with other operations")
-            result = seeded.seeded_rand(df, picked, o.seed, "rid", keys, o.sort or not keys, o.narm, o.ignore_case)
+            result = exact_summary(df, ops, "rid", keys, o.sort, o.format, o.narm, o.ignore_case)
         else:
             whole = df
             if o.full:
                 width = len(table.names) if table.names else table.rows.agg(F.max(F.size("fields"))).first()[0] or 0
                 whole = df.join(table.rows, "rid")
                 names = [table.label(i + 1) for i in range(width)] + names[len(keys) :]
-            result = summarise(whole, ops, keys, "rid", o.sort, o.narm, o.ignore_case, o.full, o.collapse)
+            if any(x.name == "rand" for x in ops) and (o.seed is not None or o.full):
+                # The full row is the chosen one, which takes draws that can be repeated: any seed will do.
+                seed = secrets.randbits(32) if o.seed is None else o.seed
+                result = seeded.seeded_rand(whole, ops, seed, "rid", keys, o.sort or not keys, o.narm, o.ignore_case, o.full, o.collapse)
+            else:
+                result = summarise(whole, ops, keys, "rid", o.sort, o.narm, o.ignore_case, o.full, o.collapse)
             if o.full:
                 result = result.select(*[F.get("fields", F.lit(i)).alias(f"w{i}") for i in range(width)], *[x.alias for x in ops])
     elif command.mode == "rows":
@@ -400,7 +403,7 @@ def run(spark: SparkSession, args: Sequence[str], path: str | None = None) -> Da
     elif command.mode in ("top", "bottom"):
         command.requests = [Request("count", None, [(s,) for s in command.words])]
         df, keys, wanted, _ = _bound(command, table)
-        picked = modes.top(df.join(table.rows, "rid"), wanted[0][1][0], command.number, "rid", command.mode == "bottom", keys, o.sort)
+        picked = modes.top(df.join(table.rows, "rid"), wanted[0][1][0], command.number, "rid", command.mode == "bottom", keys, o.sort, o.narm, o.ignore_case)
         names, result = list(table.names or ()), picked.select(F.concat_ws(o.delimiter, "fields").alias("value"))
         if o.csv_out:
             from tablewright.sources.sinks import csv_quoted

@@ -31,15 +31,27 @@ def _running(df: DataFrame, per_row: Column, rid: str) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: list[Column], rid: str, name: str = "_gid", buckets: int | None = None) -> DataFrame:
-    """``df`` with the number (from 1) of each row's run of adjacent equal keys in order of ``rid`` (unique, numeric)."""
+    """``df`` with the run of adjacent equal keys that each row is in, in order of ``rid`` (unique, numeric).
+
+    A run is named by the rid of its first row, so names ascend with the order. Rows move once, to their bucket, where
+    runs are found; then buckets' ends, a row each, tell which of them go on into the next bucket. Their number is that
+    of shuffle partitions, so that join is a broadcast of bounded size.
+    """
     own = bucketed(df, rid, buckets).withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-    lasts = own.groupBy("_bucket").agg(F.max_by("_key", rid).alias("_last"))
-    above = lasts.select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_above"))
-    previous = F.lag("_key").over(Window.partitionBy("_bucket").orderBy(rid))
-    marked = own.withColumn("_previous", previous).join(F.broadcast(above), "_bucket")
-    changed = ~F.col("_key").eqNullSafe(F.coalesce("_previous", "_above"))
-    flag = F.when(F.col("_previous").isNull() & F.col("_above").isNull(), 1).otherwise(changed.cast("int"))
-    return _running(marked, flag, rid).withColumnRenamed("_sum", name).drop("_bucket", "_key", "_previous", "_above")
+    in_order = Window.partitionBy("_bucket").orderBy(rid)
+    # A bucket's first row begins a run of its own for now.
+    own = own.withColumn("_before", F.lag("_key").over(in_order))
+    begins = F.when(F.col("_before").isNull() | ~F.col("_key").eqNullSafe(F.col("_before")), F.col(rid))
+    own = own.withColumn("_run", F.max(begins).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = own.groupBy("_bucket").agg(F.min_by("_key", rid).alias("_first"), F.max_by("_key", rid).alias("_last"), F.min("_run").alias("_head"), F.max("_run").alias("_tail"))
+    order = Window.orderBy("_bucket")
+    ends = ends.withColumn("_goes_on", F.col("_first").eqNullSafe(F.lag("_last").over(order)))
+    # Where a bucket's last run begins, unless all of the bucket goes on from the one before.
+    known = F.when(~F.col("_goes_on") | (F.col("_tail") != F.col("_head")), F.col("_tail"))
+    before = F.max(known).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_bucket", "_head", F.when(F.col("_goes_on"), before).otherwise(F.col("_head")).alias("_true"))
+    joined = own.join(F.broadcast(ends), "_bucket").withColumn(name, F.when(F.col("_run") == F.col("_head"), F.col("_true")).otherwise(F.col("_run")))
+    return joined.drop("_bucket", "_key", "_before", "_run", "_head", "_true")
 
 
 def ordinals(df: DataFrame, rid: str, name: str = "_line", buckets: int | None = None) -> DataFrame:

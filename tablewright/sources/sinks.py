@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import FractionalType
 
 from tablewright.errors import UserError
@@ -10,6 +15,17 @@ from tablewright.functions.display import DEFAULT, shown
 from tablewright.operators.summary import quoted
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that the driver and all executors reach: under ``spark.checkpoint.dir``, or local in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise UserError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tablewright-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
 def cell(df: DataFrame, name: str, format: str = DEFAULT) -> Column:
     """A column as text: fractional numbers in printf style, everything else as it is; null is empty."""
     kind = df.schema[name].dataType

@@ -44,20 +44,30 @@ class TextTable:
         return self.rows.select("rid", *[cell(p).alias(name) for name, p in positions.items()])
 
 
+#: File blocks whose line counts may be broadcast: a row of about 200 bytes each.
+BLOCKS = 100_000
+
+
 def ordered_lines(spark: SparkSession, path: str, terminator: str = "\n") -> DataFrame:
     """(rid, value) of a text file or folder: lines numbered from 1 in order of file, block and place.
 
-    Lines are counted for each block of a file; the counts, a row for each block, are added up and joined back.
+    Lines never move. Of one file in one block they are numbered as they are read; otherwise lines are counted for each
+    block in a pass of its own, and the counts, a row for each block, are added up and joined back.
     """
     lines = spark.read.option("lineSep", terminator).text(path).select(
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"), "value"
     )
+    files = len(lines.inputFiles())
+    parts = lines.rdd.getNumPartitions()
+    if files <= 1 and parts <= 1:
+        return lines.select((F.col("_seq") + 1).alias("rid"), "value")
     block = ["_path", "_at"]
-    counts = lines.groupBy(*block).agg(F.count("*").alias("_n"))
+    counts = lines.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_seq").alias("_least"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*block, before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*block).orderBy("_seq"))
-    return lines.withColumn("_place", place).join(F.broadcast(offsets), block).select((F.col("_before") + F.col("_place")).alias("rid"), "value")
+    offsets = counts.select(*block, (before - F.col("_least") + 1).alias("_shift"))
+    # A partition has one block of a large file, or several small files.
+    small = files + parts <= BLOCKS
+    return lines.join(F.broadcast(offsets) if small else offsets, block).select((F.col("_seq") + F.col("_shift")).alias("rid"), "value")
 
 
 def split_fields(value: Column, separator: str = "\t", whitespace: bool = False) -> Column:

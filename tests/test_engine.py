@@ -29,7 +29,7 @@ def test_islands_do_not_depend_on_buckets(spark, buckets):
     got = {r.rid: r._gid for r in islands(df, [F.col("k")], "rid", buckets=buckets).collect()}
     gid, want = 0, {}
     for i, k in enumerate(keys):
-        gid += i == 0 or k != keys[i - 1]
+        gid = i if i == 0 or k != keys[i - 1] else gid
         want[i] = gid
     assert got == want
     assert [r._line for r in ordinals(df, "rid", buckets=buckets).orderBy("rid").collect()] == list(range(1, 301))
