@@ -263,16 +263,26 @@ def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.when(F.col("event_id") % 19 == 0, F.slice(fields, 1, 2)).otherwise(fields).alias("fields"))
 
 
+def _inspected(spark: SparkSession, sf_dir: str, **declared: object) -> DataFrame:
+    rows = _ragged(spark, sf_dir).select(F.col("event_id").alias("rid"), F.array_join("fields", "\t").alias("raw"), "fields")
+    return health.table(spark, health.inspect(rows, **declared))
+
+
 def health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _ragged(spark, sf_dir)
-    counted = health.field_counts(df, "event_id", health.baseline(df))
-    return counted.select(F.col("pos").cast("long").alias("pos"), *[F.col(c).cast("long").alias(c) for c in health.CLASSES], "inferred")
+    counted = _inspected(spark, sf_dir).where("row_kind = 'field'")
+    cells = [F.max(F.when(F.col("category") == health.COUNTERS[c], F.col("count"))).alias(c) for c in health.CLASSES]
+    return counted.groupBy(F.col("field_index").alias("pos")).agg(*cells, F.max("expected").alias("inferred"))
+
+
+def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _inspected(spark, sf_dir, types={1: "integer", 3: "integer"}, presence={3: "required"}, examples=1).where("row_kind in ('finding', 'example')")
+    first = F.max("record_index").alias("first_row")
+    return found.groupBy("category", "basis", "field_index", F.col("expected")).agg(F.max("count").alias("n"), first, F.max("examples_omitted").alias("omitted"))
 
 
-def health_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = health.findings(_ragged(spark, sf_dir), "event_id", types={1: "integer"}, required=[3])
-    first = F.get("examples", F.lit(0))["rid"]
-    return found.select("category", "basis", F.col("field").cast("long").alias("field"), "n", first.cast("long").alias("first_row"))
+def health_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = _inspected(spark, sf_dir, width=3, presence={2: "nonmissing", 3: "nonmissing"}, examples=0)
+    return report.where("row_kind = 'finding' and basis = 'declared'").select("category", "field_index", "expected", F.col("count").alias("n"))
 
 
 def _command(args: str, columns: str, table: str, lines: Callable[[DataFrame], DataFrame]) -> Query:
@@ -349,7 +359,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         row_debase64, grp_sorted, grp_multi_key, grp_whole, grp_adjacent, grp_ignore_case, grp_full, grp_high_cardinality, narm_summary, narm_paired, rand_seeded, tbl_rmdup, tbl_check, tbl_reverse,
-        tbl_transpose, tbl_noop, ct_count, ct_max, ct_unsorted, top_n, bottom_n, top_n_grouped, top_n_adjacent, health_counts, health_findings, agg_absmax_nan,
+        tbl_transpose, tbl_noop, ct_count, ct_max, ct_unsorted, top_n, bottom_n, top_n_grouped, top_n_adjacent, health_counts, health_report, health_validate, agg_absmax_nan,
     )
 }
 
@@ -441,14 +451,17 @@ ORACLES: dict[str, str] = {
     "cmp_ranked_abs": _compare_sql(True, "case when m then 'ranked' else 'one_sided' end"),
     "cmp_ranked_pct": _compare_sql(True, "case when m then 'ranked' else 'one_sided' end", "n_percentage", 2),
     "health_counts": f"select pos, {', '.join(health.CLASSES)}, inferred from {_TYPED}",
-    "health_findings": f"""select category, basis, pos as field, count(*) as n, min(rid) as first_row from (
-  select 'empty_values' as category, 'observation' as basis, pos, rid from {_CLASSED} where class = 'empty'
-  union all select 'missing_values', 'observation', pos, rid from {_CLASSED} where class = 'missing'
-  union all select 'mixed_types', 'inferred', pos, rid from {_CLASSED} join (select pos, inferred from {_TYPED}) using (pos)
-    where inferred in ('integer', 'number') and class = 'text' or inferred = 'text' and class in ('integer', 'other_number')
-  union all select 'width_mismatch', 'observation', 0, event_id from events where event_id % 19 = 0
-  union all select 'type_mismatch', 'declared', pos, rid from {_CLASSED} where pos = 1 and class in ('other_number', 'text')
-  union all select 'required_absent', 'declared', pos, rid from {_CLASSED} where pos = 3 and class in ('absent', 'empty')) group by all""",
+    "health_report": f"""with found as (
+  select 'absent_field' as category, 'observation' as basis, pos as field_index, '' as expected, rid from {_CLASSED} where class = 'absent'
+  union all select 'empty_field', 'observation', pos, '', rid from {_CLASSED} where class = 'empty'
+  union all select 'missing_indicator', 'observation', pos, '', rid from {_CLASSED} where class = 'missing'
+  union all select 'width_mismatch', 'inferred', null, '3', event_id from events where event_id % 19 = 0
+  union all select 'type_mismatch', 'declared', pos, 'integer', rid from {_CLASSED} where pos in (1, 3) and class in ('other_number', 'text')
+  union all select 'presence_mismatch', 'declared', pos, 'required', rid from {_CLASSED} where pos = 3 and class in ('absent', 'empty'))
+  select category, basis, field_index, expected, count(*) as n, min(rid) as first_row, count(*) - 1 as omitted from found group by all
+  union all select 'mixed_types', 'observation', pos, '', 1, min(rid), count(*) - 1 from {_CLASSED} where class in ('integer', 'other_number', 'text') group by pos having count(distinct class = 'text') = 2""",
+    "health_validate": f"""select 'width_mismatch' as category, null::bigint as field_index, '3' as expected, count(*) as n from events where event_id % 19 = 0
+  union all select 'presence_mismatch', pos, 'nonmissing', count(*) from {_CLASSED} where pos in (2, 3) and class in ('absent', 'empty', 'missing') group by pos""",
 }
 
 

@@ -9,6 +9,14 @@ class UserError(ValueError):
     status = 1
 
 
+class Violation(UserError):
+    """Declared rules of a table don't hold (status 1); ``lines`` is the whole report."""
+
+    def __init__(self, message: str, lines: list[str]):
+        super().__init__(message)
+        self.lines = lines
+
+
 class Refusal(NotImplementedError):
     """The command is well formed but deliberately not supported (status 77)."""
 

@@ -13,13 +13,14 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.errors import Refusal, UserError
+from tablewright.errors import Refusal, UserError, Violation
 from tablewright.functions.display import DEFAULT, parse_format, rounded
 from tablewright.operators import compare as comparison, health as table_health, modes, seeded
 from tablewright.operators.aggregates import ALIASES, REGISTRY
 from tablewright.operators.exact import exact_summary
 from tablewright.operators.rows import ROW_ALIASES, ROW_OPS, row_column
 from tablewright.operators.summary import Op, op, quoted, summarise
+from tablewright.plans.order import ordinals
 from tablewright.sources.sinks import header_line, lines, renamed
 from tablewright.sources.strict_csv import read_csv
 from tablewright.sources.text import TextTable, read_text
@@ -78,6 +79,7 @@ class Health:
     examples: int = 3
     width: int | None = None
     validate: bool = False
+    tsv: bool = False
     rules: list[tuple[str, str, str | None]] = field(default_factory=list)
 
 
@@ -240,7 +242,7 @@ def _health(words: list[str], o: Options) -> Health:
         elif word == "validate":
             out.validate = True
         elif word == "tsv":
-            raise Refusal("health's tsv report isn't supported")
+            out.tsv = True
         elif word in ("type", "required", "nonmissing"):
             found = selectors(next(rest, ""))
             if len(found) != 1:
@@ -326,6 +328,8 @@ def parse(args: Sequence[str]) -> Command:
             counts[unit], rest = int(rest[0]), rest[2:]
         return Command(o, mode, words=[str(counts.get("lines", "")), str(counts.get("fields", ""))])
     if mode == "health":
+        if o.csv_in:
+            raise UserError("health takes ordinary text, not CSV")
         return Command(o, mode, keys=keys, health=_health(rest, o))
     if rest:
         raise UserError(f"extra operand '{rest[0]}'")
@@ -449,27 +453,37 @@ def _table_mode(spark: SparkSession, command: Command, table: TextTable) -> Data
         top = spark.createDataFrame([(o.delimiter.join(["", *made.columns[1:]]),)], "value string")
         return top.unionAll(lines(made, o.delimiter, format=o.format))
     if command.mode == "health":
-        asked, types = command.health, {}
-        present: dict[str, list[int]] = {"required": [], "nonmissing": []}
-        for word, selector, kind in asked.rules:
-            at = table.position(selector)
-            if word == "type":
-                if types.setdefault(at, kind) != kind:
-                    raise UserError(f"health: conflicting types for field {at}")
-            elif at not in present[word]:
-                present[word].append(at)
-        report = table_health.findings(table.rows, "rid", table.names, asked.width, types, present["required"], present["nonmissing"], asked.examples)
-        if asked.validate:
-            table_health.validate(report)
-        base = table_health.baseline(table.rows, asked.width, table.names) or 0
-        counts = table_health.field_counts(table.rows, "rid", max([base, *types, *present["required"], *present["nonmissing"]]))
-        a = counts.orderBy("pos").select(F.concat_ws("\t", F.lit("field"), "pos", *table_health.CLASSES, "inferred").alias("value"))
-        shown = F.transform("examples", lambda e: F.concat(e["rid"].cast("string"), F.lit(":"), e["value"]))
-        b = report.select(F.concat_ws("\t", F.lit("finding"), "category", "basis", "field", "n", shown).alias("value"))
-        return a.unionAll(b)
+        return spark.createDataFrame([(x,) for x in _health_report(command, table)], "value string")
     raise UserError(f"invalid mode '{command.mode}'")
 
 
+def _health_report(command: Command, table: TextTable) -> list[str]:
+    """The report's lines; a Violation that has them if validation is asked for and a declared rule doesn't hold."""
+    o, asked, types, presence = command.options, command.health, {}, {}
+    for word, selector, kind in asked.rules:
+        if table.names and table.names.count(selector) > 1 and (o.vnlog or not selector.isdigit()):
+            raise UserError(f"health: field name '{selector}' is ambiguous in the header")
+        at = table.position(selector)
+        if word == "type":
+            if types.setdefault(at, kind) != kind:
+                raise UserError(f"health: conflicting types for field {at}")
+        elif presence.get(at) != "nonmissing":
+            presence[at] = word
+    rows = table.rows
+    if o.skip_comments:  # lines that were left out have no number
+        rows = ordinals(rows, "rid").select((F.col("_line") + int(table.names is not None)).alias("rid"), "raw", "fields")
+    report = table_health.inspect(rows, table.names, asked.width, types, presence, asked.examples, o.separator.join(table.names or ()))
+    settings = [
+        ("separator_kind", "whitespace" if o.whitespace else "literal"), ("separator", "" if o.whitespace else o.separator), ("record_terminator", "nul" if o.zero else "lf"),
+        ("numeric_decimal_separator", "."), ("input_header", "yes" if o.header_in else "no"), ("comment_filter", "vnlog" if o.vnlog else "comments" if o.skip_comments else "none"),
+        ("vnlog", "yes" if o.vnlog else "no"), ("record_numbering", "accepted_records_1based"),
+    ]
+    lines = table_health.tsv(report, settings) if asked.tsv else table_health.readable(report, settings, asked.validate)
+    if asked.validate and report.violated:
+        raise Violation("declared rules are violated", lines)
+    return lines
+
+
 def _compare(spark: SparkSession, command: Command) -> DataFrame:
     o = command.options
     a, b, by, limit = command.words

@@ -14,7 +14,7 @@ COMMENT = r"^[ \t]*[#;]"
 
 @dataclass(frozen=True)
 class TextTable:
-    """A ragged table in row order (``rid`` from 1 without gaps) and its header's names, if it has one."""
+    """A ragged table in row order (``rid``, ``raw``, ``fields``; rid numbers lines from 1) and its header's names, if it has one."""
 
     rows: DataFrame
     names: tuple[str, ...] | None = None
@@ -99,10 +99,10 @@ def read_text(
         else:
             names = tuple(first.value.strip()[1:].split())
             data = data.where(F.col("rid") > first.rid)
-        return TextTable(data.select("rid", split_fields(F.col("value"), whitespace=True).alias("fields")), names)
+        return TextTable(data.select("rid", F.col("value").alias("raw"), split_fields(F.col("value"), whitespace=True).alias("fields")), names)
     if skip_comments:
         lines = lines.where(~F.col("value").rlike(COMMENT))
-    rows = lines.select("rid", split_fields(F.col("value"), separator, whitespace).alias("fields"))
+    rows = lines.select("rid", F.col("value").alias("raw"), split_fields(F.col("value"), separator, whitespace).alias("fields"))
     if not header:
         return TextTable(rows)
     top = rows.orderBy("rid").first()

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -86,13 +87,49 @@ def test_line_numbers_over_blocks(spark, tmp_path):
 
 
 def test_health_of_a_ragged_table(spark):
-    rows = [(1, ["a", "1"]), (2, ["b", "x"]), (3, ["c"]), (4, ["", "NA"]), (5, ["d", "2", "extra"])]
-    df = spark.createDataFrame(rows, "rid long, fields array<string>")
-    report = health.findings(df, "rid", header=["k", "k"], types={2: "number"}, required=[2])
-    found = {(r.category, r.field): r.n for r in report.collect()}
-    assert found == {("width_mismatch", 0): 2, ("empty_values", 1): 1, ("missing_values", 2): 1, ("mixed_types", 2): 1, ("type_mismatch", 2): 1, ("required_absent", 2): 1, ("duplicate_names", 2): 1}
-    with pytest.raises(UserError, match="violate"):
-        health.validate(report)
+    rows = [(2, ["a", "1"]), (3, ["b", "x"]), (4, ["c"]), (5, ["", "NA"]), (6, ["d", "2.5", "extra" * 40])]
+    df = spark.createDataFrame(rows, "rid long, fields array<string>").repartition(3).select("rid", F.array_join("fields", "\t").alias("raw"), "fields")
+    report = health.inspect(df, ["k", "k"], types={2: "integer", 9: "text"}, presence={2: "nonmissing"}, examples=2)
+    found = {(f.category, f.basis, f.field and f.field.position): (f.count, [(e.record, e.observed, e.truncated) for e in f.examples]) for f in report.findings}
+    assert found == {
+        ("width_mismatch", "inferred", None): (2, [(4, "1", False), (6, "3", True)]),
+        ("duplicate_header", "observation", 1): (1, [(1, "duplicate", False)]),
+        ("duplicate_header", "observation", 2): (1, [(1, "duplicate", False)]),
+        ("absent_field", "observation", 2): (1, [(4, "absent", False)]),
+        ("absent_field", "observation", 3): (4, [(2, "absent", False), (3, "absent", False)]),
+        ("absent_field", "observation", 9): (5, [(2, "absent", False), (3, "absent", False)]),
+        ("empty_field", "observation", 1): (1, [(5, "empty", False)]),
+        ("missing_indicator", "observation", 2): (1, [(5, "missing_indicator", False)]),
+        ("mixed_types", "observation", 2): (1, [(2, "integer", False), (3, "text", False)]),
+        ("type_mismatch", "declared", 2): (2, [(3, "text", False), (6, "other_number", False)]),
+        ("presence_mismatch", "declared", 2): (2, [(4, "absent", False), (5, "missing_indicator", False)]),
+    }
+    assert report.violated and report.records == 5 and report.widest == 3
+    told = health.table(spark, report).where("row_kind = 'example' and category = 'width_mismatch' and sample_truncated = 'yes'").first()
+    assert (told.record_index, told.observed, told.sample) == (6, "3", "d\\t2.5\\t" + ("extra" * 40)[:122])
+    assert [len(x.split("\t")) for x in health.tsv(report)] == [13] * len(health.tsv(report))
+    plan = health.profile(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    empty = health.inspect(df.limit(0), examples=0)
+    assert (empty.records, empty.baseline, empty.source, empty.findings, empty.fields) == (0, None, "unavailable", [], [])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["", "NA", "n/a", "12", " +7", "1.5", "0x1F", "-inf", "nan(3)", "x", "1 ", "é", "7e", "NaN "]), max_size=12))
+def test_health_classes(values):
+    import re
+
+    from tablewright.functions.values import NUMBER
+
+    def kind(v):
+        if v == "":
+            return "empty"
+        if v.lower() in ("na", "n/a", "nan"):
+            return "missing"
+        return "integer" if re.search(health.INTEGER, v) else "other_number" if re.search(NUMBER.replace("(?i:inf(?:inity)?|nan", "(?:inf(?:inity)?|nan"), v, re.I) else "text"
+
+    got = health.classes(pa.array([v.encode() for v in values], pa.binary()))
+    assert [health.CLASSES[k] for k in got] == [kind(v) for v in values]
 
 
 def test_extended_display():
