@@ -30,6 +30,19 @@ LONG = [
     "zero-terminated", "field-separator=", "whitespace", "group=", "ignore-case", "skip-comments", "header-in", "header-out", "headers", "vnlog", "full",
     "filler=", "format=", "round=", "output-delimiter=", "collapse-delimiter=", "sort", "seed=", "no-strict", "narm", "sort-cmd=", "result-name=", "csv-in", "csv-out", "csv", "color", "no-color", "help", "version", "exact",
 ]
+SHORT_OF = {"z": "zero-terminated", "t": "field-separator", "W": "whitespace", "g": "group", "i": "ignore-case", "C": "skip-comments", "H": "headers", "f": "full", "F": "filler", "R": "round", "c": "collapse-delimiter", "s": "sort", "S": "seed"}
+_CALCULATION = {"full", "no-strict", "filler", "collapse-delimiter", "seed"}
+#: Options that a mode has no use for; where one is given the command is refused, never partly obeyed.
+UNSUPPORTED = {
+    "health": _CALCULATION | {"result-name", "format", "round", "header-out", "csv-in", "csv-out", "csv", "narm", "sort", "ignore-case", "group", "output-delimiter", "exact"},
+    "selection": _CALCULATION - {"full"} | {"result-name", "format", "round", "vnlog", "exact"},
+    "compare": _CALCULATION | {"vnlog", "exact"},
+}
+#: Options that say how other input than CSV, or annotated input, is written.
+NOT_CSV, NOT_VNLOG = ("field-separator", "whitespace", "skip-comments"), ("filler", "field-separator", "output-delimiter", "zero-terminated")
+#: Fixed value: the longest result name.
+NAME_BYTES = 511
+CSV_MODES = {"summary", "rows", "top", "bottom", "compare"}
 MODES = {"transpose", "reverse", "check", "noop", "nop", "rmdup", "dedup", "crosstab", "ct", "health", "compare", "groupby", "grouping", "gb"}
 
 
@@ -57,6 +70,7 @@ class Options:
     csv_in: bool = False
     csv_out: bool = False
     exact: bool = False
+    given: tuple[str, ...] = ()
 
     @property
     def delimiter(self) -> str:
@@ -106,7 +120,7 @@ def options_of(args: Sequence[str]) -> tuple[Options, list[str]]:
         found, rest = getopt.gnu_getopt(list(args), SHORT, LONG)
     except getopt.GetoptError as e:
         raise UserError(str(e)) from None
-    o = Options()
+    o = Options(given=tuple(SHORT_OF.get(name[1:], name.lstrip("-")) for name, _ in found))
     for name, value in found:
         match name:
             case "-z" | "--zero-terminated":
@@ -168,13 +182,17 @@ def options_of(args: Sequence[str]) -> tuple[Options, list[str]]:
             case "--sort-cmd":
                 raise Refusal("an external sort command isn't supported")
             case "-h" | "--help" | "-V" | "--version":
-                raise UserError("see the README")
-    if o.csv_in and (o.whitespace or o.zero or o.vnlog or o.skip_comments):
-        raise UserError("CSV input conflicts with other input formats")
+                raise UserError(f"{name} takes no other part in a command: give it alone")
+    if o.csv_in or o.csv_out:
+        for name in ("zero-terminated", "vnlog", *NOT_CSV * o.csv_in, *["output-delimiter"] * o.csv_out):
+            if name in o.given:
+                raise UserError(f"CSV conflicts with --{name}")
     if o.csv_in:
         o.separator = ","
-    if o.vnlog and o.zero:
-        raise UserError("vnlog conflicts with zero-terminated records")
+    if o.vnlog:
+        for name in NOT_VNLOG:
+            if name in o.given:
+                raise UserError(f"vnlog conflicts with --{name}")
     return o, rest
 
 
@@ -262,6 +280,25 @@ def _health(words: list[str], o: Options) -> Health:
 
 def parse(args: Sequence[str]) -> Command:
     """A checked command. Nothing is read."""
+    command = _parsed(args)
+    o, mode = command.options, command.mode
+    for name in UNSUPPORTED.get("selection" if mode in ("top", "bottom") else mode, ()):
+        if name in o.given:
+            raise (UserError if mode == "health" else Refusal)(f"{mode} does not support --{name}")
+    if (o.csv_in or o.csv_out) and mode not in CSV_MODES:
+        raise Refusal(f"CSV with {mode} isn't supported")
+    if mode == "compare" and any(r.name in ROW_OPS or REGISTRY[r.name].kind == "text" for r in command.requests):
+        raise Refusal("compare takes numeric summary operations")
+    selected = [*command.keys, *(s for r in command.requests for pair in r.selectors for s in pair), *(command.words if mode in ("top", "bottom") else ())]
+    if not o.header_in and not all(s.isdigit() for s in selected):
+        raise UserError("named fields need a header: use -H or --header-in")
+    for name in o.result_names.values():
+        if len(name.encode()) > NAME_BYTES:
+            raise Refusal(f"a result name has more than {NAME_BYTES} bytes")
+    return command
+
+
+def _parsed(args: Sequence[str]) -> Command:
     o, words = options_of(args)
     if not words:
         raise UserError("missing operation")
@@ -287,8 +324,6 @@ def parse(args: Sequence[str]) -> Command:
             raise Refusal("full rows with extended precision aren't supported")
         return Command(o, "rows" if requests[0].name in ROW_OPS else "summary", requests, keys)
     mode = {"nop": "noop", "dedup": "rmdup", "ct": "crosstab"}.get(head, head)
-    if o.csv_in and mode in ("crosstab", "transpose", "reverse", "check", "noop", "rmdup"):
-        raise Refusal(f"CSV with {mode} isn't supported")
     if mode == "rmdup":
         if len(rest) != 1:
             raise UserError("duplicate removal takes one field")
@@ -328,8 +363,6 @@ def parse(args: Sequence[str]) -> Command:
             counts[unit], rest = int(rest[0]), rest[2:]
         return Command(o, mode, words=[str(counts.get("lines", "")), str(counts.get("fields", ""))])
     if mode == "health":
-        if o.csv_in:
-            raise UserError("health takes ordinary text, not CSV")
         return Command(o, mode, keys=keys, health=_health(rest, o))
     if rest:
         raise UserError(f"extra operand '{rest[0]}'")
