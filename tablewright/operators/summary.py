@@ -156,6 +156,52 @@ def _commonest(df: DataFrame, group: list[str], o: Op, narm: bool, separator: st
     return counts.groupBy(*group).agg(F.min_by("_value", F.struct(F.col("_n") * COUNTED[o.name], F.col("_value"))).alias(o.label))
 
 
+#: Operations that are order statistics of a group, by their points; a percentile has its own.
+POINTS = {"median": (0.5,), "q1": (0.25,), "q3": (0.75,), "iqr": (0.25, 0.75), "perc": ()}
+#: Relative rank error of the brackets is one in so many.
+ACCURACY = 10_000
+
+
+def _points(o: Op) -> tuple[float, ...]:
+    return POINTS[o.name] or (o.param / 100,)
+
+
+def _order_statistics(df: DataFrame, group: list[str], field: str, ops: Sequence[Op], narm: bool, separator: str) -> DataFrame:
+    """Group columns and exact quantiles of one field, whatever the size of a group.
+
+    A first pass brackets every quantile between two approximate ones whose rank error is bounded. A second counts values,
+    with those outside the brackets moved to the nearest bracket below, which keeps the ranks inside: only about
+    4 / ACCURACY of a group's values are told apart, and those are sorted. NaN counts as the largest value.
+    """
+    value = _Samples(df, None, narm, ",", False, separator)(field, False).number
+    rows = df.select(*group, F.when(F.isnan(value), float("inf")).otherwise(value).alias("_v"), F.isnan(value).alias("_nan")).where("_v is not null")
+    points = sorted({p for o in ops for p in _points(o)})
+    around = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in points for side in (-1, 1)]
+    brackets = rows.groupBy(*group).agg(F.percentile_approx("_v", around, ACCURACY).alias("_b")).select(*[F.col(g).alias(f"_j{i}") for i, g in enumerate(group)], "_b")
+    met = rows.join(brackets, [F.col(g).eqNullSafe(F.col(f"_j{i}")) for i, g in enumerate(group)])
+    clamped = F.greatest("_v", F.col("_b")[0])
+    for k in range(len(points)):
+        high = F.col("_b")[2 * k + 1]
+        above = F.when(F.col("_v") < F.col("_b")[2 * k + 2], high).otherwise(F.col("_v")) if k + 1 < len(points) else high
+        clamped = F.when(F.col("_v") > high, above).otherwise(clamped)
+    counted = met.groupBy(*group, clamped.alias("_v"), "_nan").agg(F.count("*").alias("_n"))
+    held = counted.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_v", "_nan", "_n"))).alias("_values"), F.sum("_n").alias("_n"))
+    places = {p: (F.col("_n") - 1) * F.lit(p) for p in points}
+    wanted = [f(places[p]).cast("long") for p in points for f in (F.floor, F.ceil)]
+
+    def step(a: Column, x: Column) -> Column:
+        own, after = F.when(x["_nan"], float("nan")).otherwise(x["_v"]), a["n"] + x["_n"]
+        return F.struct(after.alias("n"), *[F.when((w >= a["n"]) & (w < after), own).otherwise(a[f"v{i}"]).alias(f"v{i}") for i, w in enumerate(wanted)])
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"v{i}") for i in range(len(wanted))])
+    held = held.withColumn("_found", F.aggregate("_values", start, step))
+    at = {}
+    for i, p in enumerate(points):
+        low, high, rest = F.col(f"_found.v{2 * i}"), F.col(f"_found.v{2 * i + 1}"), places[p] - F.floor(places[p])
+        at[p] = F.when(rest == 0, low).otherwise(low * (1 - rest) + high * rest)
+    return held.select(*group, *[(at[_points(o)[-1]] - at[_points(o)[0]] if o.name == "iqr" else at[_points(o)[0]]).alias(o.label) for o in ops])
+
+
 def summarise(
     df: DataFrame,
     ops: Sequence[Op],
@@ -177,7 +223,9 @@ def summarise(
     """
     columns = df.columns
     df = parsed(df, ops, narm, separator)
-    made = aggregates(df, [o for o in ops if o.name not in COUNTED and not _compacts(o, narm)], rid, narm, delimiter, ignore_case, separator)
+    # Sorted groups may be of any size: their order statistics and commonest values are found by plans of their own.
+    apart = lambda o: o.name in COUNTED or _compacts(o, narm) or o.name in POINTS and (sort or not keys)
+    made = aggregates(df, [o for o in ops if not apart(o)], rid, narm, delimiter, ignore_case, separator)
     if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED or _compacts(o, narm) for o in ops)) and rid is None:
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
@@ -191,11 +239,13 @@ def summarise(
     else:
         df, by = islands(df, group, rid), ["_gid"]
     result = df.groupBy(*by).agg(F.count("*").alias("_count"), *shown, *extra, *made)
-    for o in ops:
-        if o.name in COUNTED or _compacts(o, narm):
-            found = _commonest(df, by, o, narm, separator) if o.name in COUNTED else _paired(df, by, o, rid, separator)
-            same = [result[b].eqNullSafe(found[b]) for b in by]
-            result = result.join(found, same, "left").select(*[result[c] for c in result.columns], finish(o.name, found[o.label]).alias(o.label))
+    tables = [([o], _commonest(df, by, o, narm, separator) if o.name in COUNTED else _paired(df, by, o, rid, separator)) for o in ops if apart(o) and o.name not in POINTS]
+    for f in sorted({o.fields[0] for o in ops if apart(o) and o.name in POINTS}):
+        own = [o for o in ops if o.name in POINTS and o.fields[0] == f]
+        tables.append((own, _order_statistics(df, by, f, own, narm, separator)))
+    for own, found in tables:
+        same = [result[b].eqNullSafe(found[b]) for b in by]
+        result = result.join(found, same, "left").select(*[result[c] for c in result.columns], *[finish(o.name, found[o.label]).alias(o.label) for o in own])
     if keys:
         result = result.orderBy(*by)
     names = [o.label for o in ops]

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tablewright.errors import UserError
 from tablewright.operators import compare, health, seeded
@@ -162,3 +162,24 @@ def test_paired_under_narm_holds_no_group(spark):
         own = [z for z in rows if z[1] == r.k]
         pairs = list(zip([z[2] for z in own if z[2] is not None], [z[3] for z in own if z[3] is not None]))
         assert r.v == sum(a * b for a, b in pairs) and 0.9 < r.p <= 1
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.sampled_from([0.0, 1.0, 2.5, float("inf"), float("nan"), -float("inf")]), st.floats(-1e9, 1e9))), min_size=1, max_size=60))
+def test_order_statistics_match_percentile(spark, rows):
+    df = spark.createDataFrame(rows, "k int, v double")
+    ops = [op("q1", "v", alias="a"), op("median", "v", alias="b"), op("q3", "v", alias="c"), op("perc", "v", param=37, alias="d")]
+    got = {r.k: tuple(r[1:]) for r in summarise(df, ops, ["k"]).collect()}
+    want = {r.k: tuple(r.p) for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.37)))).alias("p")).collect()}
+    assert got.keys() == want.keys()
+    for k in got:
+        assert np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9, equal_nan=True), (k, got[k], want[k])
+
+
+def test_order_statistics_of_a_large_group_hold_a_small_share(spark):
+    df = spark.range(300_000).select(F.lit("a").alias("k"), ((F.col("id") * 7919) % 300_007).cast("double").alias("v"))
+    got = summarise(df, [op("median", "v", alias="m"), op("iqr", "v", alias="i"), op("perc", "v", param=99, alias="p")], ["k"])
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99))))).first()[0]
+    assert np.allclose(got.first()[1:], [want[1], want[2] - want[0], want[3]])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
