@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.storage import written
+from tablewright.llm.storage import drop, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,9 +25,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
+        nearest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         large = written(large, "large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "star")
@@ -38,7 +38,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = written(small, "links")
+        after = written(small, "links")
+        drop(edges, nearest, large, least)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.storage import lean, width
+from tablewright.llm.storage import lean, quoted, width
 from tablewright.llm.words import U64
 
 #: Bits for each name, and bits in all at most (64 MB): beyond that more rows pass, and no result changes.
@@ -80,16 +80,29 @@ def may_hold(df: DataFrame, names: NameFilter, name: Column) -> Column:
     return run(name)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be among ``ids(id)``: all that are, and few others."""
-    return docs.where(may_hold(docs, filter_of(ids.select(F.xxhash64("id").alias("name"))), F.xxhash64(docs["doc_id"].cast("long"))))
+def text_hash(text: Column) -> Column:
+    """A hash of a text; null and blank texts are alike."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(whole.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(whole)).otherwise(F.lit(0).cast("long"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among the distinct ``ids(id)``; rows without doc_id stay.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, same, row) of every row of ``docs(doc_id, text)``: rows are told apart by id and text, with or without an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("same"), F.struct(*map(quoted, docs.columns)).alias("row"))
 
-    Rows that the filter of ids can't hold stay where they are. Only the others meet the ids in a join.
+
+def among(rows: DataFrame, keys: DataFrame) -> Column:
+    """Whether a row of ``rows(id, same)`` may be among ``keys(id, same)``: true for all that are, and for few others."""
+    return may_hold(rows, filter_of(keys.select(F.xxhash64("id", "same").alias("name"))), F.xxhash64("id", "same"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, text)`` whose id and text aren't among the distinct ``keys(id, same)``.
+
+    Rows that the filter of keys can't hold stay where they are. Only the others meet the keys in a join.
     """
-    may = may_hold(docs, filter_of(ids.select(F.xxhash64("id").alias("name"))), F.xxhash64(docs["doc_id"].cast("long")))
-    maybe = docs.where(may)
-    return docs.where(~may).unionByName(maybe.join(ids, maybe["doc_id"].cast("long") == ids["id"], "left_anti"))
+    rows = keyed(docs)
+    may = among(rows, keys)
+    maybe = rows.where(may)
+    left = maybe.join(keys, maybe["id"].eqNullSafe(keys["id"]) & (maybe["same"] == keys["same"]), "left_anti")
+    return rows.where(~may).unionByName(left).select("row.*")

@@ -13,7 +13,7 @@ than all pairs, so that a group of copies costs rows in proportion to its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.components import components
-from tablewright.llm.name_filter import only, without
-from tablewright.llm.storage import lean, bound_batches, pieces, width, written
+from tablewright.llm.name_filter import among, keyed, text_hash, without
+from tablewright.llm.storage import bound_batches, drop, lean, pieces, width, written
 from tablewright.llm.words import mix, sequence_hashes, word_hashes
 
 SHINGLE = 4
@@ -69,32 +69,32 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False
 
     ``distinct`` takes each shingle once. fp2 is a second fingerprint by other hashes of the same shingles. same is a
     hash of the text, null and blank texts alike. ``sketch`` adds sketch, the :func:`minima` of the distinct shingles of
-    so many words (null for a null or blank text).
+    so many words (null for a null or blank text), and nib1 and nib2, the lowest four bits of the first 32 of them.
     """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps, others, same = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
+            fps, others = (np.zeros(batch.num_rows, np.uint64) for _ in range(2))
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                raw = text.as_py()
-                if raw:
-                    words = raw.lower().split()
-                    if words:
-                        hashes = np.array(_shingle_hashes(words, shingle), np.uint64)
-                        if distinct:
-                            hashes = np.unique(hashes)
-                            others[i] = _majorities(mix(hashes), np.array([0]))[0]
-                        same[i] = xxhash.xxh3_64_intdigest(raw)
-                        fps[i] = _majorities(hashes, np.array([0]))[0]
-            columns, names = [batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others, same))], ["doc_id", "fp", "fp2", "same"]
+                words = (text.as_py() or b"").lower().split()
+                if words:
+                    hashes = np.array(_shingle_hashes(words, shingle), np.uint64)
+                    if distinct:
+                        hashes = np.unique(hashes)
+                        others[i] = _majorities(mix(hashes), np.array([0]))[0]
+                    fps[i] = _majorities(hashes, np.array([0]))[0]
+            columns, names = [batch.column(0), *(pa.array(x.view(np.int64)) for x in (fps, others)), batch.column(2)], ["doc_id", "fp", "fp2", "same"]
             if sketch:
-                columns.append(pa.array([minima(x).tobytes() if len(x) else None for x in shingle_sets(batch.column(1), sketch)], pa.binary()))
-                names.append("sketch")
+                found = [minima(x) if len(x) else None for x in shingle_sets(batch.column(1), sketch)]
+                nibbles = _nibbles(np.stack([x if x is not None else np.zeros(BANDS * ROWS, np.uint32) for x in found]))
+                columns += [pa.array([x.tobytes() if x is not None else None for x in found], pa.binary()), *(pa.array(n.view(np.int64)) for n in nibbles)]
+                names += ["sketch", "nib1", "nib2"]
             yield pa.record_batch(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lean(run), "doc_id long, fp long, fp2 long, same long" + (", sketch binary" if sketch else "")
+    text = F.col("text").cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, text_hash(F.col("text")).alias("same")).mapInArrow(
+        lean(run), "doc_id long, fp long, fp2 long, same long" + (", sketch binary, nib1 long, nib2 long" if sketch else "")
     )
 
 
@@ -172,25 +172,32 @@ class _Forest:
 
 
 def forest_links(home: np.ndarray, near: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that join whatever a home fingerprint and another of this anchor, at most ``threshold`` bits apart, join.
+    """Links that join whatever a home fingerprint and another of this anchor, at most ``threshold`` bits apart, join."""
+    every = np.concatenate([home, near])
+    pairs = forest(every, np.arange(len(every)) < len(home), threshold)
+    return [(int(every[i]), int(every[j])) for i, j in pairs]
 
-    A large anchor files its fingerprints again by ``threshold + 1`` blocks of all 64 bits, one of which a linked pair
-    shares; a block value that many share is compared in strips. The result has fewer links than fingerprints.
+
+def forest(every: np.ndarray, is_home: np.ndarray, threshold: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that join whatever a home fingerprint and another one, at most ``threshold`` bits apart, join.
+
+    ``alike(i, members)`` says which of the members are also alike otherwise. A large anchor files its fingerprints again
+    by ``threshold + 1`` blocks of all 64 bits, one of which a linked pair shares; a block value that many share is
+    compared in strips. The result has fewer pairs than fingerprints.
     """
-    every = np.unique(np.concatenate([home, near]))
-    forest, links = _Forest(len(every)), []
-    is_home = np.isin(every, home)
+    found, links = _Forest(len(every)), []
 
     def compare(members: np.ndarray) -> None:
-        rows = members[is_home[members]]
         values = every[members]
-        for i in rows.tolist():
+        for i in members[is_home[members]].tolist():
             close = members[_bits(values ^ every[i]) <= threshold]
-            root = forest.find(i)
+            if alike is not None and len(close) > 1:
+                close = close[alike(i, close)]
+            root = found.find(i)
             for j in close.tolist():
-                if forest.up[j] != root and forest.join(i, j):
-                    links.append((int(every[i]), int(every[j])))
-                    root = forest.find(i)
+                if found.up[j] != root and found.join(i, j):
+                    links.append((i, j))
+                    root = found.find(i)
 
     if len(every) <= DIRECT:
         compare(np.arange(len(every)))
@@ -207,45 +214,50 @@ def forest_links(home: np.ndarray, near: np.ndarray, threshold: int) -> list[tup
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) links of distinct fingerprints ``fps(fp)`` whose components are those of all pairs within ``threshold``."""
-    cuts = blocks(threshold)
+    """(a, b) links whose components are those of all pairs of ``fps`` within ``threshold``.
+
+    ``fps(fp)`` are distinct fingerprints and links are between them. ``fps(fp, id, nib1, nib2)`` are texts by a distinct
+    id, links are between ids, and a pair within the threshold also needs NIBBLES equal nibbles of its minima.
+    """
+    cuts, texts = blocks(threshold), "id" in fps.columns
+    more = ["id", "nib1", "nib2"] if texts else []
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            fp, *others = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             for k, (low, size) in enumerate(cuts):
                 index, anchor, at_home = anchors((fp.view(np.uint64) >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64))
-                yield pa.record_batch(
-                    [pa.array((anchor << 4 | k).astype(np.int32)), pa.array(at_home), pa.array(fp[index])], names=["anchor", "home", "fp"]
-                )
+                columns = [pa.array((anchor << 4 | k).astype(np.int32)), pa.array(at_home), *(pa.array(x[index]) for x in (fp, *others))]
+                yield pa.record_batch(columns, names=["anchor", "home", "fp", *more])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, parts = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if parts:
-                at_home = np.concatenate([p[0] for p in parts])
-                fp = np.concatenate([p[1] for p in parts]).view(np.uint64)
+                at_home, fp, *others = (np.concatenate(x) for x in zip(*parts))
                 if at_home.any() and len(fp) > 1:
-                    found = forest_links(fp[at_home], fp[~at_home], threshold)
-                    if found:
-                        pair = np.array(found, np.uint64).view(np.int64)
-                        yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                    alike = (lambda i, js: _equal_nibbles(others[1:], i, js) >= NIBBLES) if texts else None
+                    found = np.array(forest(fp.view(np.uint64), at_home, threshold, alike), np.int64).reshape(-1, 2)
+                    if len(found):
+                        ids = others[0] if texts else fp
+                        yield pa.record_batch([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["a", "b"])
 
         for batch in batches:
             key = batch.column(0).to_numpy()
-            at_home, fp = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
             cuts = np.flatnonzero(np.diff(key)) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
                 if e > s:
                     if key[s] != anchor:
                         yield from close()
                         anchor, parts = key[s], []
-                    parts.append((at_home[s:e].copy(), fp[s:e].copy()))
+                    parts.append([c[s:e].copy() for c in columns])
         yield from close()
 
     spark = fps.sparkSession
-    spread = fps.select("fp").mapInArrow(lean(replicate), "anchor int, home boolean, fp long")
+    kinds = ", ".join(f"{c} long" for c in ("fp", *more))
+    spread = fps.select("fp", *more).mapInArrow(lean(replicate), f"anchor int, home boolean, {kinds}")
     dealt = spread.repartition(width(spark), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(lean(compare), "a long, b long")
 
@@ -259,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     """
     prints = written(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(first, threshold))
+    roots = components(links(first.select("fp"), threshold))
     joined = first.join(roots, first.fp == roots.id, "left").select(
         first.fp, "first", F.coalesce("root", first.fp).alias("root")
     )
@@ -276,6 +288,9 @@ SET_BASE = 0x3C79AC492BA7B653
 #: Sketches of BANDS x ROWS minima find what both fingerprints miss: sets of Jaccard similarity J share all of a band with
 #: probability J ** ROWS. Sketches that share a band are linked if AGREE minima or more are equal.
 BANDS, ROWS, AGREE = 28, 4, 68
+#: Of 32 nibbles of minima so many must be equal for a pair of near fingerprints to be linked: sets of similarity 0.8 have
+#: 26 on average and fewer than this with a probability of about one in 100,000, unrelated ones have two.
+NIBBLES = 16
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _FLIPS, _FACTORS = ((_SEEDS[k :: 2] >> np.uint64(32)).astype(np.uint32)[:, None] for k in (0, 1))
 _FACTORS = _FACTORS | np.uint32(1)
@@ -300,6 +315,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nibbles(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest four bits of the first 32 minima of each row, 16 to a word."""
+    low = (rows[:, :32] & np.uint32(15)).astype(np.uint64).reshape(len(rows), 2, 16)
+    words = np.bitwise_or.reduce(low << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
+    return words[:, 0].copy(), words[:, 1].copy()
+
+
+def _equal_nibbles(words: list[np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
+    """How many of the 32 nibbles of row ``i`` the rows ``js`` share."""
+    unequal = 0
+    for w in words:
+        x = (w[js] ^ w[i]).view(np.uint64)
+        x = x | x >> np.uint64(1)
+        x = x | x >> np.uint64(2)
+        unequal = unequal + np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int64)
+    return 32 - unequal
+
+
 def sketch_forest(fps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
     """Links that join whatever pairs of sketches with at least AGREE equal minima join."""
     left, links = np.arange(len(fps)), []
@@ -314,10 +347,10 @@ def sketch_forest(fps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]
     return links
 
 
-def sketch_links(prints: DataFrame) -> DataFrame:
-    """(a, b) links of fingerprints ``prints(fp, sketch)`` whose sketches share a band and agree."""
-    spark = prints.sparkSession
-    own = written(prints.where("sketch is not null").select("fp", "sketch").distinct().withColumn("id", F.xxhash64("fp", "sketch")), "sketches")
+def sketch_links(texts: DataFrame) -> DataFrame:
+    """(a, b) links of ``texts(id, sketch)`` whose sketches share a band and agree."""
+    spark = texts.sparkSession
+    own = texts.where("sketch is not null").select("id", "sketch")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,24 +363,24 @@ def sketch_links(prints: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["band", "id"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, fps, sketches = None, [], []
+        band, ids, sketches = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(fps) > 1 and (found := sketch_forest(np.array(fps, np.int64), np.frombuffer(b"".join(sketches), np.uint32).reshape(len(fps), -1))):
+            if len(ids) > 1 and (found := sketch_forest(np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint32).reshape(len(ids), -1))):
                 yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, fp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, id_, sketch in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != band:
                     yield from close()
-                    band, fps, sketches = k, [], []
-                fps.append(fp)
+                    band, ids, sketches = k, [], []
+                ids.append(id_)
                 sketches.append(sketch)
         yield from close()
 
     filed = written(own.select("id", "sketch").mapInArrow(lean(bands), "band long, id long"), "bands")
     shared = written(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
-    met = filed.join(shared, "band").join(own, "id").select("band", "fp", "sketch")
+    met = filed.join(shared, "band").join(own, "id").select("band", "id", "sketch")
     return met.repartition(width(spark), "band").sortWithinPartitions("band").mapInArrow(lean(compare), "a long, b long")
 
 
@@ -374,66 +407,100 @@ def alike_links(ids: list[int], sets: list[np.ndarray], similarity: float) -> li
     return links
 
 
-def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of every row with an id: groups of equal texts and of texts alike over shingles of words.
+def alike_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(id, same) of every row, and (same, kept_id, kept_same) of every text: its group's representative.
 
-    Candidates are the components of two fingerprints of distinct word pairs within PAIR_THRESHOLD bits and of sketches
-    of the shingles themselves (:func:`sketch_links`): where a block of text was added, cut off or replaced, the
-    fingerprints lie further apart. Within one component, all pairs of different texts are compared by the Jaccard similarity of their distinct shingles, in blocks of about MEMBERS,
-    each of which emits a spanning forest of its links. Words are lower-cased (A-Z). Blank and null texts are equal.
-    component_id is the smallest doc_id of the group; rows without doc_id are left out.
+    Rows are told by doc_id and a hash of the text; equal texts, and null and blank ones, are one text. Texts are
+    linked if two fingerprints of distinct word pairs lie within PAIR_THRESHOLD bits and their minima agree, or by
+    sketches of the shingles themselves (:func:`sketch_links`): where a block of text was added, cut off or replaced,
+    the fingerprints lie further apart. Within the components of these links all pairs are compared by the Jaccard
+    similarity of their distinct shingles, in blocks of about MEMBERS texts, each of which emits a spanning forest of
+    its links; the groups are those links' components. Words are lower-cased (A-Z). A representative is the text with the
+    smallest doc_id, a text without any id only if its whole group has none.
     """
     spark = docs.sparkSession
-    prints = written(fingerprints(docs.where("doc_id is not null"), PAIR_SHINGLE, distinct=True, sketch=shingle), "fingerprints")
-    texts = written(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "texts")
-    near = [links(texts.select(F.col(c).alias("fp")).distinct(), PAIR_THRESHOLD) for c in ("fp", "fp2")]
-    near.append(sketch_links(prints))
-    roots = components(near[0].unionByName(near[1]).unionByName(near[2]).unionByName(texts.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))))
-    classed = written(texts.join(roots, texts.fp == roots.id, "left").select("rep", F.coalesce("root", "fp").alias("class")), "classes")
+    prints = written(fingerprints(docs, PAIR_SHINGLE, distinct=True, sketch=shingle), "fingerprints")
+    once = [F.first(c).alias(c) for c in ("fp", "fp2", "nib1", "nib2", "sketch")]
+    texts = written(prints.groupBy(F.col("same").alias("id")).agg(F.min("doc_id").alias("rep"), *once), "texts")
+    rows = written(prints.select(F.col("doc_id").alias("id"), "same"), "rows")
+    drop(prints)
+    near = [links(texts.select(F.col(c).alias("fp"), "id", "nib1", "nib2"), PAIR_THRESHOLD) for c in ("fp", "fp2")]
+    roots = components(near[0].unionByName(near[1]).unionByName(sketch_links(texts)))
+    classed = written(texts.select("id", "rep").join(roots.withColumnRenamed("id", "same"), F.col("id") == F.col("same"), "left").select("id", "rep", F.coalesce("root", "id").alias("class")), "classes")
     sizes = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    members = classed.join(sizes, "class").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = written(members.select("class", "rep", "block", "blocks"), "members")
+    members = classed.join(sizes, "class").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = written(members.select("class", F.col("id").alias("same"), F.col("rep").alias("id"), "block", "blocks"), "members")
+    drop(sizes)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             own = [x.astype(np.int64).tobytes() for x in shingle_sets(batch.column("text"), shingle)]
-            yield pa.record_batch([*(batch.column(c) for c in ("class", "rep", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "rep", "block", "blocks", "set"])
+            yield pa.record_batch([*(batch.column(c) for c in ("class", "same", "block", "blocks")), pa.array(own, pa.binary())], names=["class", "same", "block", "blocks", "set"])
 
-    bodies = only(docs, members.select(F.col("rep").alias("id"))).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null")
-    # Rows that repeat an id with other texts stand and fall together: the id's texts are all compared under it.
-    found = members.join(bodies, "rep").select("class", "rep", "block", "blocks", "text").mapInArrow(lean(sets), "class long, rep long, block int, blocks int, set binary")
+    # Only a text's row with its smallest id is dealt out, and of several such rows one goes on.
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("same"), F.col("text").cast("string").alias("text"))
+    bodies = every.where(among(every, members.select("id", "same"))).select(F.col("id").alias("own"), "same", "text")
+    met = members.join(bodies, "same").where(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["same"])
+    found = met.select("class", "same", "block", "blocks", "text").mapInArrow(lean(sets), "class long, same long, block int, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         found.withColumn("other", other)
-        .select("class", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "set")
+        .select("class", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "same", "set")
         .repartition(width(spark), "class", "a", "b")
-        .sortWithinPartitions("class", "a", "b", "rep")
+        .sortWithinPartitions("class", "a", "b", "same")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, own = None, [], []
+
+        def told(out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for k, rep, one in zip(zip(*(batch.column(c).to_pylist() for c in ("class", "a", "b"))), batch.column("rep").to_pylist(), batch.column("set").to_pylist()):
+            for k, same, one in zip(zip(*(batch.column(c).to_pylist() for c in ("class", "a", "b"))), batch.column("same").to_pylist(), batch.column("set").to_pylist()):
                 if k != key:
                     if len(ids) > 1:
                         out += alike_links(ids, own, similarity)
                     key, ids, own = k, [], []
-                ids.append(rep)
+                ids.append(same)
                 own.append(np.frombuffer(one, np.int64))
-            if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        if len(ids) > 1 and (out := alike_links(ids, own, similarity)):
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield from told(out)
+        if len(ids) > 1:
+            yield from told(alike_links(ids, own, similarity))
 
-    joined = components(dealt.mapInArrow(lean(compare), "a long, b long"))
-    label = written(texts.join(joined, texts.rep == joined.id, "left").select("same", F.coalesce("root", "rep").alias("component_id")), "labels")
-    return prints.join(label, "same").select("doc_id", "component_id")
+    joined = components(dealt.mapInArrow(lean(compare), "a long, b long")).select(F.col("id").alias("same"), "root")
+    labels = written(texts.select(F.col("id").alias("same"), "rep").join(joined, "same", "left").select("same", "rep", F.coalesce("root", "same").alias("root")), "labels")
+    drop(texts, classed, members)
+    best = labels.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "same")).alias("best"))
+    kept = written(labels.join(best, "root").select("same", F.col("best.rep").alias("kept_id"), F.col("best.same").alias("kept_same")), "kept")
+    drop(labels)
+    return rows, kept
+
+
+def alike_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of its group (:func:`alike_texts`), null if none has one."""
+    rows, kept = alike_texts(docs, similarity, shingle)
+    return rows.join(kept, "same").select(F.col("id").alias("doc_id"), F.col("kept_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = TEXT_SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of :func:`alike_groups`: that of the smallest doc_id. Rows without id stay."""
-    groups = alike_groups(docs, similarity, shingle)
-    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id")
-    return without(docs, written(gone.select(F.col("doc_id").alias("id")), "gone"))
+    """``docs`` with one row of each group of :func:`alike_texts`: one with its representative's id and text.
+
+    Rows without an id are judged like any other. Of rows that repeat id and text any one stays. Other columns are kept,
+    whatever their names; a text of any length is one row's work, and an empty table gives an empty result.
+    """
+    rows, kept = alike_texts(docs, similarity, shingle)
+    counted = rows.groupBy("id", "same").agg(F.count("*").alias("n")).join(kept, "same")
+    stays = (F.col("same") == F.col("kept_same")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    judged = written(counted.select("id", "same", stays.alias("stays"), (F.col("n") > 1).alias("again")).where("not stays or again"), "judged")
+    left = without(docs, judged.select("id", "same"))
+    again = judged.where("stays").select("id", "same")
+    if not again.limit(1).count():
+        return left
+    maybe = keyed(docs)
+    maybe = maybe.where(among(maybe, again))
+    met = maybe.join(again, maybe["id"].eqNullSafe(again["id"]) & (maybe["same"] == again["same"]), "left_semi")
+    return left.unionByName(met.groupBy("id", "same").agg(F.first("row").alias("row")).select("row.*"))

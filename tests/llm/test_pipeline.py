@@ -73,3 +73,17 @@ def test_stages_on_an_empty_table_with_more_columns(spark):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs, SF).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_columns_of_the_input_stay_and_rows_without_ids_are_judged(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    odd = spark.createDataFrame([(None, item, "en", "s", 1), (1, item, "en", "s", 1), (None, None, "en", "s", 0)], docs.schema)
+    named = docs.unionByName(odd).selectExpr("*", "'mine' as predicted", "'mine' as n_words", "'mine' as same", "'mine' as `a.b`")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, named, SF)
+        assert got.columns == named.columns
+        kept = got.collect()
+        assert kept and all(r[c] == "mine" for r in kept for c in ("predicted", "n_words", "same", "a.b")), name
+        if name == "decontamination":
+            assert item not in {r.text for r in kept} and any(r.text is None for r in kept) and any(r.doc_id == 1 for r in kept)

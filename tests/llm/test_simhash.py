@@ -110,7 +110,8 @@ def test_groups_of_alike_texts(spark, monkeypatch):
         rows.append((1000 + k, " ".join(words), "x"))
     rows += [(2000, None, "x"), (2001, " ", "x"), (None, base[0].text, "x"), (3, base[3].text, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
-    own = [(i, t) for i, t, _ in rows if i is not None]
+    big = 10**9  # the row without an id
+    own = [(i if i is not None else big, t) for i, t, _ in rows]
     up = {i: i for i, _ in own}
 
     def find(i):
@@ -124,14 +125,35 @@ def test_groups_of_alike_texts(spark, monkeypatch):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     want = {(i, find(i)) for i, _ in own}
-    assert {(r.doc_id, r.component_id) for r in simhash.alike_groups(docs).collect()} == want
+    assert {(r.doc_id if r.doc_id is not None else big, r.component_id) for r in simhash.alike_groups(docs).collect()} == want
     monkeypatch.setattr(simhash, "MEMBERS", 7)
     kept = simhash.keep_one(docs)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([x for x, y in want if x == y] + [3])
-    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(x for x, y in want if x == y)
+    assert kept.columns == docs.columns
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_and_with_shared_ids(spark):
+    base = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text.split()) > 60][:6]
+    rows = [(None, base[0]), (None, base[0]), (None, base[1]), (5, base[1]), (7, base[2]), (7, base[3]), (7, base[3]), (9, base[3] + " end"), (None, ""), (None, None), (None, base[4] + " x"), (None, base[4])]
+    docs = spark.createDataFrame([(i, t, "r", "s") for i, t in rows], "doc_id long, text string, `a.b` string, same string")
+    got = simhash.keep_one(docs).collect()
+    assert all((r["a.b"], r.same) == ("r", "s") for r in got)
+    said = [(r.doc_id, (r.text or "").strip()) for r in got]
+    assert sorted(x for x in said if x[0]) == sorted([(5, base[1]), (7, base[2]), (7, base[3])])
+    nameless = [t for i, t in said if not i]
+    assert len(nameless) == 3 and base[0] in nameless and "" in nameless and any(t.startswith(base[4]) for t in nameless)
+
+
+def test_equal_nibbles_are_counted():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 1 << 32, (30, simhash.BANDS * simhash.ROWS), dtype=np.uint64).astype(np.uint32)
+    rows[1] = rows[0]
+    words = [w.view(np.int64) for w in simhash._nibbles(rows)]
+    got = simhash._equal_nibbles(words, 0, np.arange(30))
+    assert got.tolist() == [int(((rows[0, :32] ^ r[:32]) & 15 == 0).sum()) for r in rows]
+
+
 def test_block_edits_are_linked(spark):
     base = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
     base = list({" ".join(w[:400]).lower(): w[:400] for w in base if 60 <= len(w)}.values())[:200]
