@@ -41,7 +41,10 @@ def _hexadecimal(value: float, digits: int | None) -> str:
 
 def show(value: float | None, format: str = DEFAULT) -> str:
     """One number in printf style. Infinities and NaN keep their sign and ignore zero padding."""
-    found = parse_format(format)
+    return _show(value, parse_format(format))
+
+
+def _show(value: float | None, found: re.Match) -> str:
     flags, kind = found["flags"], found["kind"]
     value = math.nan if value is None else float(value)
     digits = None if found["digits"] is None else int(found["digits"] or 0)
@@ -74,10 +77,15 @@ def format_spec(value: float, spec: str) -> str:
 def shown(column: Column, format: str = DEFAULT) -> Column:
     """A numeric column as text in printf style; null stays null. For sinks: values stay typed until then."""
     parse_format(format)
+    simple = re.fullmatch(r"%(\.\d+[efg])", format)
+    spec = simple[1] if simple else None
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: show(x, format), na_action=None)
+        found = parse_format(format)
+        if spec is None:
+            return pd.Series([_show(x, found) for x in values.to_list()], index=values.index)
+        return pd.Series([format_spec(x, spec) if math.isfinite(x) else _show(x, found) for x in values.to_list()], index=values.index)
 
     return F.when(column.isNotNull(), run(column.cast("double")))
 

@@ -47,12 +47,75 @@ def _quarter(k: int) -> Callable[[Numbers], np.longdouble]:
     return value
 
 
-EXACT: dict[str, Callable[[Numbers], np.longdouble]] = {
+def _perc(x: Numbers, percent: int) -> np.longdouble:
+    s = np.sort(x)
+    at, rest = divmod((len(s) - 1) * percent, 100)
+    return s[at] if not rest else s[at] + (s[at + 1] - s[at]) * np.longdouble(rest) / 100
+
+
+def _trimmed(x: Numbers, share: float) -> np.longdouble:
+    if share == 0.5:
+        return _quarter(2)(x)
+    cut = int(len(x) * share)
+    return _ordered_sum(np.sort(x)[cut : len(x) - cut]) / (len(x) - 2 * cut)
+
+
+def _deviation(scale: str) -> Callable[[Numbers], np.longdouble]:
+    return lambda x: _quarter(2)(np.abs(x - _quarter(2)(x))) * np.longdouble(scale)
+
+
+def _commonest(sign: int) -> Callable[[Numbers], np.longdouble]:
+    def value(x: Numbers) -> np.longdouble:
+        values, n = np.unique(x, return_counts=True)
+        return values[np.argmax(sign * n)]
+
+    return value
+
+
+def _power_mean(k: int) -> Callable[[Numbers], np.longdouble]:
+    """Standardised central moment."""
+
+    def value(x: Numbers) -> np.longdouble:
+        d = x - _ordered_sum(x) / len(x)
+        spread = _ordered_sum(d * d) / len(x)
+        return _ordered_sum(d**k) / len(x) / spread ** (np.longdouble(k) / 2) - (3 if k == 4 else 0)
+
+    return value
+
+
+def _sample(k: int) -> Callable[[Numbers], np.longdouble]:
+    """Skewness and excess kurtosis of a sample, without bias."""
+
+    def value(x: Numbers) -> np.longdouble:
+        n = np.longdouble(len(x))
+        if n < k:
+            return np.longdouble("nan")
+        g = _power_mean(k)(x)
+        return g * np.sqrt(n * (n - 1)) / (n - 2) if k == 3 else ((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3))
+
+    return value
+
+
+EXACT: dict[str, Callable[..., np.longdouble]] = {
     "sum": _ordered_sum,
     "mean": lambda x: _ordered_sum(x) / len(x),
     "min": lambda x: x.min(),
     "max": lambda x: x.max(),
     "range": lambda x: x.max() - x.min(),
+    "absmin": lambda x: x[np.argmin(np.abs(x))],
+    "absmax": lambda x: x[np.argmax(np.abs(x))],
+    "geomean": lambda x: np.exp(_ordered_sum(np.log(x)) / len(x)),
+    "harmmean": lambda x: len(x) / _ordered_sum(1 / x),
+    "trimmean": _trimmed,
+    "perc": _perc,
+    "mode": _commonest(1),
+    "antimode": _commonest(-1),
+    "madraw": _deviation("1"),
+    "mad": _deviation("1.4826"),
+    "pskew": _power_mean(3),
+    "pkurt": _power_mean(4),
+    "sskew": _sample(3),
+    "skurt": _sample(4),
     "ms": lambda x: _ordered_sum(x * x) / len(x),
     "rms": lambda x: np.sqrt(_ordered_sum(x * x) / len(x)),
     "median": _quarter(2),
@@ -87,7 +150,7 @@ def show_long(value: np.longdouble, format: str = "%.14g") -> str:
 
 
 #: What an empty sample gives; NaN for the others.
-NOTHING = {"sum": 0.0, "min": -np.inf, "max": np.inf}
+NOTHING = {"sum": 0.0, "min": -np.inf, "max": np.inf, "absmin": -np.inf, "absmax": np.inf}
 
 
 def _numbers(values: pd.Series) -> Numbers:
@@ -121,7 +184,8 @@ def exact_summary(
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_rid")
         numbers = {f: _numbers(part[f"_f{i}"]) for i, f in enumerate(fields)}
-        found = [EXACT[o.name](numbers[o.fields[0]]) if len(numbers[o.fields[0]]) else np.longdouble(NOTHING.get(o.name, np.nan)) for o in ops]
+        with np.errstate(all="ignore"):
+            found = [EXACT[o.name](numbers[o.fields[0]], *([o.param] if o.name in ("perc", "trimmean") else [])) if len(numbers[o.fields[0]]) else np.longdouble(NOTHING.get(o.name, np.nan)) for o in ops]
         return pd.DataFrame([{g: part[g].iloc[0] for g in [*group, *shown]} | {c: show_long(x, format) for c, x in zip(out, found)}])
 
     schema = ", ".join([f"{g} {'long' if g == '_gid' else 'string'}" for g in [*group, *shown]] + [f"{c} string" for c in out])

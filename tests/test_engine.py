@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tablewright.errors import UserError
-from tablewright.operators import compare, health, seeded
+from tablewright.operators import compare, exact, health, seeded
 from tablewright.operators.exact import show_long
 from tablewright.operators.summary import op, summarise
 from tablewright.plans.order import islands, ordinals
@@ -183,3 +183,23 @@ def test_order_statistics_of_a_large_group_hold_a_small_share(spark):
     assert np.allclose(got.first()[1:], [want[1], want[2] - want[0], want[3]])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(-900, 900), min_size=4, max_size=30).filter(lambda v: len(set(v)) > 1))
+def test_extended_operations_match_definitions(values):
+    x = np.array(values, np.longdouble)
+    n, s = len(values), sorted(values)
+    d = [v - sum(values) / n for v in values]
+    m = lambda k: sum(v**k for v in d) / n
+    skew, kurt = m(3) / m(2) ** 1.5, m(4) / m(2) ** 2 - 3
+    median = np.median(values)
+    often = {v: values.count(v) for v in s}
+    want = {
+        "absmin": min(values, key=abs), "absmax": max(values, key=abs), "perc": np.percentile(values, 30), "mode": min(often, key=lambda v: (-often[v], v)), "antimode": min(often, key=lambda v: (often[v], v)),
+        "madraw": np.median([abs(v - median) for v in values]), "pskew": skew, "pkurt": kurt, "sskew": skew * (n * (n - 1)) ** 0.5 / (n - 2), "skurt": ((n + 1) * kurt + 6) * (n - 1) / ((n - 2) * (n - 3)),
+        "trimmean": np.mean(s[int(n * 0.2) : n - int(n * 0.2)]),
+    }
+    for name, value in want.items():
+        more = {"perc": [30], "trimmean": [0.2]}.get(name, [])
+        assert np.isclose(float(exact.EXACT[name](x, *more)), value, rtol=1e-9, atol=1e-9), name
