@@ -32,6 +32,8 @@ GOLAY_POLYNOMIAL = 0b101011100011
 GOLAY_LENGTH, GOLAY_BITS, RADIUS = 23, 12, 3
 #: Fingerprints of one anchor that are compared directly; more are first filed again by the bits that remain.
 DIRECT = 2048
+#: Fingerprints from which an anchor's are spread over tasks.
+WIDE = 8_000_000
 
 
 def fingerprint_bytes(text: bytes, shingle: int = SHINGLE) -> int:
@@ -213,22 +215,31 @@ def forest(every: np.ndarray, is_home: np.ndarray, threshold: int, alike: Callab
     return links
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD, wide: bool | None = None) -> DataFrame:
     """(a, b) links whose components are those of all pairs of ``fps`` within ``threshold``.
 
+    There are some thousands of anchors for each block. Of more than WIDE fingerprints (``wide`` sets it) an anchor's are
+    dealt out again by ``threshold + 1`` parts of all 64 bits, one of which a linked pair shares, so that one task's
+    share stays small; the links' components are the same.
+
     ``fps(fp)`` are distinct fingerprints and links are between them. ``fps(fp, id, nib1, nib2)`` are texts by a distinct
     id, links are between ids, and a pair within the threshold also needs NIBBLES equal nibbles of its minima.
     """
     cuts, texts = blocks(threshold), "id" in fps.columns
     more = ["id", "nib1", "nib2"] if texts else []
+    wide = fps.count() > WIDE if wide is None else wide
+    edges = np.linspace(0, 64, threshold + 2).astype(int).tolist()
+    parts_of = list(zip(edges[:-1], edges[1:])) if wide else [(0, 0)]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, *others = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             for k, (low, size) in enumerate(cuts):
                 index, anchor, at_home = anchors((fp.view(np.uint64) >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64))
-                columns = [pa.array((anchor << 4 | k).astype(np.int32)), pa.array(at_home), *(pa.array(x[index]) for x in (fp, *others))]
-                yield pa.record_batch(columns, names=["anchor", "home", "fp", *more])
+                columns = [pa.array(at_home), *(pa.array(x[index]) for x in (fp, *others))]
+                for j, (a, b) in enumerate(parts_of):
+                    part = fp[index] >> a & (1 << b - a) - 1
+                    yield pa.record_batch([pa.array((part << 5 | j) << 27 | anchor << 4 | k), *columns], names=["anchor", "home", "fp", *more])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, parts = None, []
@@ -257,7 +268,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     spark = fps.sparkSession
     kinds = ", ".join(f"{c} long" for c in ("fp", *more))
-    spread = fps.select("fp", *more).mapInArrow(lean(replicate), f"anchor int, home boolean, {kinds}")
+    spread = fps.select("fp", *more).mapInArrow(lean(replicate), f"anchor long, home boolean, {kinds}")
     dealt = spread.repartition(width(spark), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(lean(compare), "a long, b long")
 

@@ -58,14 +58,15 @@ def test_links_miss_nothing(spark):
             fps.add(x)
     fps = sorted(fps)
     signed = [(int(np.uint64(x).astype(np.int64)),) for x in fps]
-    links = components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()
-    root = {i: i for i, in signed} | {r.id: r.root for r in links}
     want = classes(dict(enumerate(fps)), 4)
-    mine, theirs = {}, {}
-    for k, (i,) in enumerate(signed):
-        mine.setdefault(root[i], set()).add(k)
-        theirs.setdefault(want[k], set()).add(k)
-    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    for wide in (False, True):
+        links = components(simhash.links(spark.createDataFrame(signed, "fp long"), wide=wide)).collect()
+        root = {i: i for i, in signed} | {r.id: r.root for r in links}
+        mine, theirs = {}, {}
+        for k, (i,) in enumerate(signed):
+            mine.setdefault(root[i], set()).add(k)
+            theirs.setdefault(want[k], set()).add(k)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
 def test_large_anchor_is_filed_again(monkeypatch):
