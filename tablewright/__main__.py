@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import tempfile
 from collections.abc import Sequence
@@ -15,7 +16,7 @@ from tablewright import __version__
 from tablewright.errors import InternalFailure, Refusal, UserError, Violation
 from tablewright.operators.aggregates import REGISTRY
 from tablewright.operators.rows import ROW_OPS
-from tablewright.plans.language import CSV_MODES, MODES, SHORT_OF, UNSUPPORTED, parse, run
+from tablewright.plans.language import MODES, SHORT_OF, Command, parse, run
 from tablewright.session import local_session
 
 HELP = f"""usage: python -m tablewright [--input PATH] [options] operation field [operation field ...]
@@ -32,6 +33,21 @@ supported, 70 a defect of the library.
 """
 
 
+def _category(name: str) -> str:
+    """The locale of a category as the environment sets it."""
+    return os.environ.get("LC_ALL") or os.environ.get(name) or os.environ.get("LANG") or "C"
+
+
+def refuse_locale(command: Command) -> None:
+    """Byte order and decimal points are all there is: a command that depends on a language's rules is refused, not run by others."""
+    plain = lambda name: _category(name).split(".")[0] in ("C", "POSIX")
+    ordered = command.options.sort or command.mode in ("crosstab", "compare") or any(r.name in ("unique", "countunique") for r in command.requests)
+    if ordered and not plain("LC_COLLATE"):
+        raise Refusal(f"sorting by the rules of {_category('LC_COLLATE')} isn't supported: set LC_ALL=C")
+    if not plain("LC_NUMERIC") and not _category("LC_NUMERIC").startswith("en_"):
+        raise Refusal(f"numbers by the rules of {_category('LC_NUMERIC')} aren't supported: set LC_NUMERIC=C")
+
+
 def main(args: Sequence[str], out: TextIO = sys.stdout, err: TextIO = sys.stderr, spark: SparkSession | None = None) -> int:
     """Run a command, write its lines and return its exit status."""
     args = list(args)
@@ -46,6 +62,7 @@ def main(args: Sequence[str], out: TextIO = sys.stdout, err: TextIO = sys.stderr
         path, args = (args[1] if len(args) > 1 else None), args[2:]
     try:
         command = parse(args)
+        refuse_locale(command)
         end = "\0" if command.options.zero else "\n"
         own = spark or local_session()
         with tempfile.TemporaryDirectory() as folder:

@@ -66,6 +66,27 @@ def test_strict_csv(spark, tmp_path):
     assert table.names == ("h", "i") and [(r.rid, r.fields) for r in table.rows.orderBy("rid").collect()] == [(2, ["1", "2"]), (3, ["3", "4"]), (4, ["5", "6"])]
 
 
+def test_csv_records_cross_blocks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    cell = lambda: "".join(rng.choice(list('ab,"\n '), int(rng.integers(0, 30))))
+    quoted = lambda c: '"' + c.replace('"', '""') + '"'
+    want = {}
+    for name, n in (("a.csv", 400), ("b.csv", 150), ("c.csv", 3)):
+        rows = [[f"{name}{i}", cell(), "plain", "x\n" * 60 if i % 97 == 0 else ""] for i in range(n)]
+        (tmp_path / name).write_text("".join(",".join(c if c == "plain" else quoted(c) for c in r) + ("\r\n" if i % 2 else "\n") for i, r in enumerate(rows)))
+        want[name] = rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = read_csv(spark, str(tmp_path)).rows.orderBy("rid").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.fields for r in got] == [r for name in ("a.csv", "b.csv", "c.csv") for r in want[name]]
+    (tmp_path / "d.csv").write_text('a,b\n"open,c\n')
+    with pytest.raises(Exception, match="end of input inside quotes in line"):
+        read_csv(spark, str(tmp_path / "d.csv")).rows.collect()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text(alphabet='ab",\n\r ', max_size=6), min_size=1, max_size=4), min_size=1, max_size=5))
 def test_csv_round_trip(rows):

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from tablewright.__main__ import main
+from tablewright.__main__ import main, refuse_locale
 from tablewright.errors import Refusal, UserError, Violation
 from tablewright.functions.display import show
 from tablewright.plans.language import parse, run
@@ -118,7 +118,8 @@ def test_one_block_is_read_once_and_lines_never_move(spark, tmp_path):
     assert plan.count("FileScan text") == 1 and "hashpartitioning" not in plan
 
 
-def test_command_entry(spark, tmp_path):
+def test_command_entry(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("LC_ALL", "C.UTF-8")
     (tmp_path / "in").write_text("plum\t4\nfig\t7\n")
     own = ["--input", str(tmp_path / "in")]
     for args, status, said in (
@@ -130,6 +131,19 @@ def test_command_entry(spark, tmp_path):
         assert out.getvalue().startswith(said) and (status == 0 or said or err.getvalue().startswith("tablewright: "))
 
 
+@pytest.mark.parametrize("name, args, refused", [("de_DE.UTF-8", "sum 1", True), ("en_US.UTF-8", "sum 1", False), ("en_US.UTF-8", "-s -g1 sum 1", True), ("en_GB.UTF-8", "unique 1", True), ("POSIX", "-s -g1 sum 1", False), ("", "ct 1,2", False)])
+def test_languages_are_refused(monkeypatch, name, args, refused):
+    for key in ("LC_ALL", "LC_COLLATE", "LC_NUMERIC", "LANG"):
+        monkeypatch.delenv(key, raising=False)
+    if name:
+        monkeypatch.setenv("LANG", name)
+    if refused:
+        with pytest.raises(Refusal, match="set LC_"):
+            refuse_locale(parse(args.split(" ")))
+    else:
+        refuse_locale(parse(args.split(" ")))
+
+
 def test_compare_command(spark, tmp_path):
     (tmp_path / "a").write_text("2\n")
     (tmp_path / "b").write_text("5\n")
