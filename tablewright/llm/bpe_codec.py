@@ -186,7 +186,9 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
                     out += [ids, pa.array([x.decode() for x in decoded], pa.string())]
                 yield pa.record_batch([*(batch.column(c) for c in kept), *out], names=[*kept, *made])
         finally:
-            bpe.known.forget()  # workers are kept for later tasks: what they remember is not
+            # Workers are kept for later tasks: what they remember is not.
+            bpe.known.forget()
+            library.cache_clear()
 
     rows = docs.select(as_rows(docs, kept))
     types = {"n_tokens": LongType(), "ids": ArrayType(IntegerType())}

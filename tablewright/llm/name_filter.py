@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,9 +72,9 @@ def may_hold(df: DataFrame, names: NameFilter, name: Column) -> Column:
     """Whether the filter may hold the name, as a column of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(names)
 
-    @F.pandas_udf("boolean")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.may_hold(values.to_numpy().astype(np.int64).view(U64)))
+    @F.arrow_udf("boolean")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(values.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)))
 
     return run(name)
 

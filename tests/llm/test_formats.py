@@ -29,6 +29,24 @@ def test_chat_round_trip_and_machine(spark):
     assert text.count("<|im_end|>") == 1 and chat.Template().read_turn(text) == ("user", "<|im_end|>")
 
 
+@pytest.mark.parametrize("rows_of_batch", ["1", "3"])
+def test_chat_conversations_go_on_in_the_next_batch(spark, rows_of_batch):
+    long = "<|im_start|>é " * 200_000
+    rows = [(c, t, ("user", "assistant")[t % 2], long if (c, t) == (1, 1) else f"text {c} {t}", None, None) for c in range(4) for t in range(6)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows_of_batch)
+    try:
+        got = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, TURNS)), ordered=True).collect()}
+    finally:
+        spark.conf.set(key, before)
+    for conv, r in got.items():
+        own = [(x[2], x[3]) for x in rows if x[0] == conv]
+        assert r.n_turns == 6 and r.valid and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        learnt = "".join(b for a, b in own if a == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], TURNS))).count() == 0
 

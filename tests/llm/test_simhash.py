@@ -170,3 +170,13 @@ def test_block_edits_are_linked(spark):
     assert len(pairs) > 300
     got = {r.doc_id: r.component_id for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 9000, 150_000))
+    rows = [(3, text), (1, text + " tail"), (2, "short one"), (4, text[: len(text) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == {i: brute(t) for i, t in rows} and got[3].component_id == 1
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 4]
