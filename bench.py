@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tablewright import catalogue  # noqa: E402
 from tablewright.session import local_session  # noqa: E402
 
-HEADLINE = ["grp_whole", "grp_sorted", "grp_multi_key", "grp_adjacent", "grp_high_cardinality", "agg_collapse", "agg_trimmean", "agg_antimode", "agg_dpo", "agg_ppearson", "row_strbin", "row_sha256", "tbl_rmdup", "ct_count", "top_n", "top_n_grouped", "cmp_ranked_abs", "health_report"]
+HEADLINE = ["grp_whole", "grp_sorted", "grp_multi_key", "grp_adjacent", "grp_high_cardinality", "agg_collapse", "agg_trimmean", "agg_antimode", "agg_dpo", "agg_ppearson", "row_strbin", "row_sha256", "tbl_rmdup", "ct_count", "top_n", "top_n_grouped", "cmp_ranked_abs", "health_counts", "health_report"]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 

@@ -166,31 +166,39 @@ def _points(o: Op) -> tuple[float, ...]:
     return POINTS[o.name] or (o.param / 100,)
 
 
-def _order_statistics(df: DataFrame, group: list[str], field: str, ops: Sequence[Op], narm: bool, separator: str) -> DataFrame:
+def _order_statistics(df: DataFrame, group: list[str], field: str, ops: Sequence[Op], narm: bool, separator: str, whole: bool) -> DataFrame:
     """Group columns and exact quantiles of one field, whatever the size of a group.
 
-    A first pass brackets every quantile between two approximate ones whose rank error is bounded. A second counts values,
-    with those outside the brackets moved to the nearest bracket below, which keeps the ranks inside: only about
-    4 / ACCURACY of a group's values are told apart, and those are sorted. NaN counts as the largest value.
+    A first pass brackets every quantile between two approximate ones, two ranks in ACCURACY to either side of it, whose
+    own error is at most one in ACCURACY; a group of no more than 4 * ACCURACY values, where roundings of ranks would
+    count, has brackets without bounds. A second pass counts values, with those outside the brackets moved to the nearest
+    bracket below, which keeps the ranks inside: only about 4 / ACCURACY of a larger group's values are told apart, and
+    those are sorted. NaN counts as the largest value. ``whole``: there
+    is one group, so one row of brackets.
     """
     value = _Samples(df, None, narm, ",", False, separator)(field, False).number
     rows = df.select(*group, F.when(F.isnan(value), float("inf")).otherwise(value).alias("_v"), F.isnan(value).alias("_nan")).where("_v is not null")
     points = sorted({p for o in ops for p in _points(o)})
     around = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in points for side in (-1, 1)]
-    brackets = rows.groupBy(*group).agg(F.percentile_approx("_v", around, ACCURACY).alias("_b")).select(*[F.col(g).alias(f"_j{i}") for i, g in enumerate(group)], "_b")
-    met = rows.join(brackets, [F.col(g).eqNullSafe(F.col(f"_j{i}")) for i, g in enumerate(group)])
+    open_ = F.array(F.lit(-float("inf")), *[F.lit(float("inf"))] * (len(around) - 1))
+    found = rows.groupBy(*group).agg(F.percentile_approx("_v", around, ACCURACY).alias("_b"), F.count("*").alias("_n"))
+    brackets = found.select(*[F.col(g).alias(f"_j{i}") for i, g in enumerate(group)], F.when(F.col("_n") > 4 * ACCURACY, F.col("_b")).otherwise(open_).alias("_b"))
+    met = rows.join(F.broadcast(brackets) if whole else brackets, [F.col(g).eqNullSafe(F.col(f"_j{i}")) for i, g in enumerate(group)])
     clamped = F.greatest("_v", F.col("_b")[0])
     for k in range(len(points)):
         high = F.col("_b")[2 * k + 1]
         above = F.when(F.col("_v") < F.col("_b")[2 * k + 2], high).otherwise(F.col("_v")) if k + 1 < len(points) else high
         clamped = F.when(F.col("_v") > high, above).otherwise(clamped)
-    counted = met.groupBy(*group, clamped.alias("_v"), "_nan").agg(F.count("*").alias("_n"))
-    held = counted.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_v", "_nan", "_n"))).alias("_values"), F.sum("_n").alias("_n"))
+    # Moved values stand before or after those that are equal to where they were moved to; no quantile may fall on one.
+    moved = F.when(F.col("_v") < clamped, -1).when(F.col("_v") > clamped, 1).otherwise(0)
+    counted = met.groupBy(*group, clamped.alias("_v"), moved.alias("_moved"), "_nan").agg(F.count("*").alias("_n"))
+    held = counted.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_v", "_moved", "_nan", "_n"))).alias("_values"), F.sum("_n").alias("_n"))
     places = {p: (F.col("_n") - 1) * F.lit(p) for p in points}
     wanted = [f(places[p]).cast("long") for p in points for f in (F.floor, F.ceil)]
 
     def step(a: Column, x: Column) -> Column:
-        own, after = F.when(x["_nan"], float("nan")).otherwise(x["_v"]), a["n"] + x["_n"]
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        own, after = F.when(x["_moved"] != 0, missed).when(x["_nan"], float("nan")).otherwise(x["_v"]), a["n"] + x["_n"]
         return F.struct(after.alias("n"), *[F.when((w >= a["n"]) & (w < after), own).otherwise(a[f"v{i}"]).alias(f"v{i}") for i, w in enumerate(wanted)])
 
     start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"v{i}") for i in range(len(wanted))])
@@ -242,7 +250,7 @@ def summarise(
     tables = [([o], _commonest(df, by, o, narm, separator) if o.name in COUNTED else _paired(df, by, o, rid, separator)) for o in ops if apart(o) and o.name not in POINTS]
     for f in sorted({o.fields[0] for o in ops if apart(o) and o.name in POINTS}):
         own = [o for o in ops if o.name in POINTS and o.fields[0] == f]
-        tables.append((own, _order_statistics(df, by, f, own, narm, separator)))
+        tables.append((own, _order_statistics(df, by, f, own, narm, separator, not keys)))
     for own, found in tables:
         same = [result[b].eqNullSafe(found[b]) for b in by]
         result = result.join(found, same, "left").select(*[result[c] for c in result.columns], *[finish(o.name, found[o.label]).alias(o.label) for o in own])

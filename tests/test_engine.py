@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -197,6 +199,22 @@ def test_order_statistics_match_percentile(spark, rows):
         assert np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9, equal_nan=True), (k, got[k], want[k])
 
 
+def test_order_statistics_of_many_sizes(spark):
+    # Group k has 1 to 97 values or, from k = 90 on, about 40,000 and more: there brackets have bounds. Some repeat a lot.
+    sizes = [*range(1, 98, 4), 39_990, 40_001, 40_013, 60_007, 90_000]
+    parts = [spark.range(n).select(F.lit(n).alias("k"), (F.xxhash64("id", F.lit(n)) % (7 if n % 2 else 1_000_003)).cast("double").alias("v")) for n in sizes]
+    df = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    points = (0.25, 0.5, 0.75, 0.01, 0.99, 1.0)
+    ops = [op("q1", "v", alias="a"), op("median", "v", alias="b"), op("q3", "v", alias="c"), op("perc", "v", param=1, alias="d"), op("perc", "v", param=99, alias="e"), op("perc", "v", param=100, alias="f")]
+    want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("p")).collect()}
+    alone = [{r.k: r[1] for r in summarise(df, [o], ["k"]).collect()} for o in ops[1:4]]
+    got = summarise(df, ops, ["k"]).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert np.allclose(r[1:], want[r.k], rtol=1e-12), r.k
+        assert [a[r.k] for a in alone] == list(r[2:5])
+
+
 def test_order_statistics_of_a_large_group_hold_a_small_share(spark):
     df = spark.range(300_000).select(F.lit("a").alias("k"), ((F.col("id") * 7919) % 300_007).cast("double").alias("v"))
     got = summarise(df, [op("median", "v", alias="m"), op("iqr", "v", alias="i"), op("perc", "v", param=99, alias="p")], ["k"])
