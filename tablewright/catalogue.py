@@ -13,7 +13,7 @@ from tablewright.operators import compare, health, modes, seeded
 from tablewright.operators.rows import row_column
 from tablewright.operators.summary import op, summarise
 from tablewright.plans import language
-from tablewright.sources.sinks import scratch
+from tablewright.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 

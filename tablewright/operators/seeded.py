@@ -10,11 +10,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.operators.summary import Op, aggregates, parsed, quoted, representative
 from tablewright.functions.values import fold, unless_missing
-from tablewright.plans.order import islands
+from tablewright.plans.order import before_in_order, islands, running
 
 #: Fixed values of the generator: degree, tap, multiplier and modulus of the seeding step, draws thrown away.
 DEGREE, TAP, MULTIPLIER, MODULUS, DISCARDED = 31, 28, 16807, 2147483647, 310
@@ -97,14 +97,12 @@ def seeded_rand(
     made = aggregates(rows, others, rid, narm, delimiter, ignore_case)
     present = [unless_missing(quoted(o.fields[0]), df.schema[o.fields[0]].dataType, narm).cast("string") for o in ops]
     # A missing value draws nothing: a row's draws are numbered by the present values before it, request by request.
-    within = Window.partitionBy("_group").orderBy(rid)
-    here = sum((p.isNotNull().cast("long") for p in present), F.lit(0))
-    rows = rows.withColumn("_here", here).withColumn("_before", F.sum("_here").over(within) - F.col("_here"))
-    for i, p in enumerate(present):
-        rows = rows.withColumn(f"_v{i}", p).withColumn(f"_c{i}", F.sum(p.isNotNull().cast("long")).over(within))
+    here = sum((p.isNotNull().cast("long") for p in present), F.lit(0).cast("long"))
+    rows = rows.withColumn("_here", here).withColumns({f"_v{i}": p for i, p in enumerate(present)})
+    rows = running(rows, ["_group"], rid, {"_upto": F.col("_here")} | {f"_c{i}": F.col(f"_v{i}").isNotNull().cast("long") for i in range(len(ops))})
+    rows = rows.withColumn("_before", F.col("_upto") - F.col("_here"))
     totals = rows.groupBy("_group").agg(F.sum("_here").alias("_all"))
-    offsets = totals.select("_group", F.coalesce(F.sum("_all").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    rows = rows.join(offsets, "_group")
+    rows = rows.join(before_in_order(totals, "_group", "_all", "_offset"), "_group") if keys else rows.withColumn("_offset", F.lit(0))
 
     @F.pandas_udf("long")
     def draw(at: pd.Series) -> pd.Series:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.sources.scratch import scratch
+
 
 def bucketed(df: DataFrame, rid: str, buckets: int | None = None) -> DataFrame:
     """``df`` with ``_bucket``: ranges of the numeric order column ``rid`` of about equal row counts."""
@@ -59,12 +61,36 @@ def ordinals(df: DataFrame, rid: str, name: str = "_line", buckets: int | None =
     return _running(bucketed(df, rid, buckets), F.lit(1), rid).withColumnRenamed("_sum", name).drop("_bucket")
 
 
-def places(df: DataFrame, group: list[str], rid: str, name: str = "_place", buckets: int | None = None) -> DataFrame:
-    """``df`` with each row's number from 1 within its group in order of ``rid``; a group is split over ranges of ``rid``."""
-    own = bucketed(df, rid, buckets)
-    totals = own.groupBy("_bucket", *group).agg(F.count("*").alias("_total"))
+def running(df: DataFrame, group: list[str], rid: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
+    """``df`` with running sums within its group in order of ``rid``, the own row included; a group is split over ranges of ``rid``."""
+    own = bucketed(df, rid, buckets).withColumns({f"_own_{name}": value for name, value in sums.items()})
+    totals = own.groupBy("_bucket", *group).agg(*[F.sum(f"_own_{name}").alias(f"_own_{name}") for name in sums])
     above = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_bucket").alias("_b"), *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_total").over(above), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_bucket", *group).orderBy(rid))
+    before = [F.coalesce(F.sum(f"_own_{name}").over(above), F.lit(0)).alias(f"_before_{name}") for name in sums]
+    offsets = totals.select(F.col("_bucket").alias("_b"), *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], *before)
+    within = Window.partitionBy("_bucket", *group).orderBy(rid).rowsBetween(Window.unboundedPreceding, 0)
+    local = own.withColumns({f"_own_{name}": F.sum(f"_own_{name}").over(within) for name in sums})
     same = [F.col("_bucket") == F.col("_b"), *[F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]]
-    return own.withColumn("_run", within).join(offsets, same).withColumn(name, F.col("_run") + F.col("_before")).select(*df.columns, name)
+    return local.join(offsets, same).select(*df.columns, *[(F.col(f"_own_{name}") + F.col(f"_before_{name}")).alias(name) for name in sums])
+
+
+def places(df: DataFrame, group: list[str], rid: str, name: str = "_place", buckets: int | None = None) -> DataFrame:
+    """``df`` with each row's number from 1 within its group in order of ``rid``."""
+    return running(df, group, rid, {name: F.lit(1).cast("long")}, buckets)
+
+
+def before_in_order(totals: DataFrame, key: str, total: str, name: str) -> DataFrame:
+    """(key, name): the sum of ``total`` over all rows of smaller ``key``, which is unique but may be of any type that sorts.
+
+    Rows are dealt by ranges of the key and written with their range, so that ranges stay as they are; their sums, a row
+    each, are added up and joined back.
+    """
+    spark = totals.sparkSession
+    path = scratch(spark, "ranges")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    totals.select(key, total).repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    up_to = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy("_range").agg(F.sum(total).alias("_sum")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(up_to.orderBy("_range")), F.lit(0)).alias("_ahead"))
+    local = F.coalesce(F.sum(total).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("_local", local).join(F.broadcast(ranges), F.col("_range") == F.col("_r")).select(key, (F.col("_local") + F.col("_ahead")).alias(name))

@@ -242,3 +242,22 @@ def test_extended_operations_match_definitions(values):
     for name, value in want.items():
         more = {"perc": [30], "trimmean": [0.2]}.get(name, [])
         assert np.isclose(float(exact.EXACT[name](x, *more)), value, rtol=1e-9, atol=1e-9), name
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_seeded_choices_follow_the_stream(spark, keys):
+    rng = np.random.default_rng(8)
+    rows = [(i, str(rng.integers(0, 9)), None if rng.random() < 0.2 else f"v{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "rid long, k string, v string").repartition(5)
+    got = {tuple(r[:-1]): r[-1] for r in seeded.seeded_rand(df, [op("rand", "v", alias="chosen")], 11, "rid", keys).collect()}
+    groups = sorted({r[1] for r in rows}) if keys else [None]
+    stream, at, want = seeded.draws(11, 0, 400), 0, {}
+    for g in groups:
+        n = 0
+        for _, k, v in rows:
+            if v is not None and (g is None or k == g):
+                n += 1
+                if n == 1 or stream[at] % n == 0:
+                    want[(g,) if keys else ()] = v
+                at += 1
+    assert got == want
