@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tablewright.llm.name_filter import NameFilter, filter_of, may_hold
@@ -170,10 +170,10 @@ def first_equal(split: Split, place: np.ndarray, rank: np.ndarray, window: int)
     return out
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """(doc, ord, text): ord tells rows of one doc_id apart and is equal for equal texts."""
+def _documents(docs: DataFrame, body: Column | None = None) -> DataFrame:
+    """(doc, ord, text), or ``body`` for the text: ord tells rows of one doc_id apart and is equal for equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("ord"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("ord"), text.alias("text") if body is None else body)
 
 
 def repeated_anchors(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most: int = MOST) -> tuple[NameFilter, NameFilter]:
@@ -306,8 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, ro
     found = written(found, "spans")
     made = ["n_words", "n_removed", "kept_sha256", *["kept_text", "removed"] * texts]
     kept = [c for c in docs.columns if c not in made]
-    key = _documents(docs).columns[:2]
-    rows = docs.select(*(c.alias(k) for c, k in zip((F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), key)), as_rows(docs, kept))
+    key, rows = ["doc", "ord"], _documents(docs, as_rows(docs, kept))
     # Texts that nothing touches stay where they are; only the others are dealt out to meet their spans.
     may = may_hold(rows, filter_of(found.select(F.xxhash64(*key).alias("name"))), F.xxhash64(*key))
     met = rows.where(may).join(found, key, "left").select("row", "spans")
