@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 #: Bytes of text that an operator works on at once, unless a single text is longer; bytes of an Arrow batch.
-PIECE, BATCH = 1 << 20, "8m"
+PIECE, BATCH = 1 << 19, "8m"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
