@@ -194,7 +194,7 @@ def _unique(s: Sample) -> Column:
         return F.array_join(F.sort_array(F.collect_set(s.text)), s.delimiter)
     entry = F.when(s.text.isNotNull(), F.struct(fold(s.text).alias("f"), s.order.alias("r"), s.text.alias("t")))
     every = F.sort_array(F.collect_list(entry))
-    firsts = F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["f"] != x["f"]))
+    firsts = _let(every, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1)["f"] != x["f"])))
     return F.array_join(F.transform(firsts, lambda x: x["t"]), s.delimiter)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import FractionalType
@@ -10,7 +11,7 @@ from pyspark.sql.types import FractionalType
 from tablewright.errors import Refusal, UserError
 from tablewright.functions.display import shown
 from tablewright.functions.values import fold, number, unless_missing
-from tablewright.operators.summary import Op, aggregates, op, quoted
+from tablewright.operators.summary import Op, aggregates, op, quoted, spellings, spelt, with_tables
 from tablewright.plans.order import islands, ordinals
 
 FILLER = "N/A"
@@ -123,13 +124,20 @@ def crosstab(
     """
     what = what or op("count", row)
     keys = [fold(quoted(k).cast("string")) if ignore_case else quoted(k).cast("string") for k in (row, column)]
-    made = aggregates(df, [what], rid, narm, ignore_case=ignore_case)[0].alias("_cell")
+    apart = spelt(what, ignore_case)
+    if rid is None and (apart or not sort):
+        raise UserError("row order matters here: give an order column")
+    cell = replace(what, alias="_cell")
+    made = F.count("*").alias("_count") if apart else aggregates(df, [cell], rid, narm, ignore_case=ignore_case)[0]
+
+    def whole(groups: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+        return with_tables(groups, by, [([cell], spellings(rows, by, cell, rid, narm, ","))]) if apart else groups
+
     if sort:
-        cells = df.groupBy(keys[0].alias("_r"), keys[1].alias("_c")).agg(made)
+        cells = whole(df.groupBy(keys[0].alias("_r"), keys[1].alias("_c")).agg(made), df.withColumns({"_r": keys[0], "_c": keys[1]}), ["_r", "_c"])
     else:
-        if rid is None:
-            raise UserError("row order matters here: give an order column")
-        runs = islands(df, keys, rid).groupBy("_gid").agg(F.first(keys[0]).alias("_r"), F.first(keys[1]).alias("_c"), made)
+        rows = islands(df, keys, rid)
+        runs = whole(rows.groupBy("_gid").agg(F.first(keys[0]).alias("_r"), F.first(keys[1]).alias("_c"), made), rows, ["_gid"])
         cells = runs.groupBy("_r", "_c").agg(F.min_by("_cell", "_gid").alias("_cell"))
     names = sorted(labels) if labels is not None else None
     table = cells.groupBy(F.col("_r").alias(row)).pivot("_c", names).agg(F.first("_cell"))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.operators.summary import Op, aggregates, parsed, quoted, representative
+from tablewright.operators.summary import Op, aggregates, parsed, quoted, representative, spellings, spelt, with_tables
 from tablewright.functions.values import fold, unless_missing
 from tablewright.plans.order import before_in_order, islands, running
 
@@ -94,7 +94,8 @@ def seeded_rand(
         rows = df.withColumn("_group", F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)]) if keys else F.struct(F.lit(0).alias("g0")))
     else:
         rows = islands(df, group, rid).withColumn("_group", F.struct(F.col("_gid").alias("g0"))).drop("_gid")
-    made = aggregates(rows, others, rid, narm, delimiter, ignore_case)
+    made = aggregates(rows, [o for o in others if not spelt(o, ignore_case)], rid, narm, delimiter, ignore_case)
+    tables = [([o], spellings(rows, ["_group"], o, rid, narm, delimiter)) for o in others if spelt(o, ignore_case)]
     present = [unless_missing(quoted(o.fields[0]), df.schema[o.fields[0]].dataType, narm).cast("string") for o in ops]
     # A missing value draws nothing: a row's draws are numbered by the present values before it, request by request.
     here = sum((p.isNotNull().cast("long") for p in present), F.lit(0).cast("long"))
@@ -126,7 +127,8 @@ def seeded_rand(
     shown = [F.min_by(quoted(k), quoted(rid)).alias(f"_s{i}") for i, k in enumerate(keys)]
     picks = [F.max(f"_k{i}") for i in range(len(ops))]
     extra = [F.greatest(representative(rows, others, rid, narm, "."), *picks).alias("_rep")] if full else []
-    result = rows.groupBy("_group").agg(F.count("*").alias("_count"), *shown, *extra, *chosen, *made).orderBy("_group")
+    result = rows.groupBy("_group").agg(F.count("*").alias("_count"), *shown, *extra, *chosen, *made)
+    result = with_tables(result, ["_group"], tables).orderBy("_group")
     values = [quoted(o.label) for o in every]
     if full:
         kept = whole.select(quoted(rid).alias("_rep"), F.struct(*[quoted(c) for c in columns]).alias("_row"))

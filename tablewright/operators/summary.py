@@ -156,6 +156,33 @@ def _commonest(df: DataFrame, group: list[str], o: Op, narm: bool, separator: st
     return counts.groupBy(*group).agg(F.min_by("_value", F.struct(F.col("_n") * COUNTED[o.name], F.col("_value"))).alias(o.label))
 
 
+def spelt(o: Op, ignore_case: bool) -> bool:
+    """Whether :func:`spellings` computes the operation."""
+    return ignore_case and o.name == "unique"
+
+
+def spellings(df: DataFrame, group: list[str], o: Op, rid: str, narm: bool, delimiter: str) -> DataFrame:
+    """Group columns and the distinct values without regard to the case of A-Z, each as its first row spells it.
+
+    Aggregates that are combined before they move find a spelling's first row, then a folded value's first spelling;
+    only the values of the result itself are collected.
+    """
+    text = _Samples(df, rid, narm, delimiter, True, ".")(o.fields[0], True).text
+    every = df.select(*group, text.alias("_text"), quoted(rid).alias("_first")).where("_text is not null")
+    own = every.groupBy(*group, "_text").agg(F.min("_first").alias("_first"))
+    firsts = own.groupBy(*group, fold(F.col("_text")).alias("_folded")).agg(F.min_by("_text", F.struct("_first", "_text")).alias("_text"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_folded", "_text"))), lambda x: x["_text"])
+    return firsts.groupBy(*group).agg(F.array_join(listed, delimiter).alias(o.label))
+
+
+def with_tables(result: DataFrame, by: list[str], tables: Sequence[tuple[Sequence[Op], DataFrame]]) -> DataFrame:
+    """``result`` with the operations that were computed apart, in tables with a row for each group at most."""
+    for own, found in tables:
+        same = [result[b].eqNullSafe(found[b]) for b in by]
+        result = result.join(found, same, "left").select(*[result[c] for c in result.columns], *[finish(o.name, found[o.label]).alias(o.label) for o in own])
+    return result
+
+
 #: Operations that are order statistics of a group, by their points; a percentile has its own.
 POINTS = {"median": (0.5,), "q1": (0.25,), "q3": (0.75,), "iqr": (0.25, 0.75), "perc": ()}
 #: Relative rank error of the brackets is one in so many.
@@ -231,10 +258,10 @@ def summarise(
     """
     columns = df.columns
     df = parsed(df, ops, narm, separator)
-    # Sorted groups may be of any size: their order statistics and commonest values are found by plans of their own.
-    apart = lambda o: o.name in COUNTED or _compacts(o, narm) or o.name in POINTS and (sort or not keys)
+    # Sorted groups may be of any size: order statistics, commonest values and spellings are found by plans of their own.
+    apart = lambda o: o.name in COUNTED or _compacts(o, narm) or spelt(o, ignore_case) or o.name in POINTS and (sort or not keys)
     made = aggregates(df, [o for o in ops if not apart(o)], rid, narm, delimiter, ignore_case, separator)
-    if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED or _compacts(o, narm) for o in ops)) and rid is None:
+    if (not sort and keys or full or ignore_case and keys or any(o.name in ORDERED or _compacts(o, narm) or spelt(o, ignore_case) for o in ops)) and rid is None:
         raise UserError("row order matters here: give an order column")
     group = [fold(quoted(k).cast("string")) if ignore_case else quoted(k) for k in keys]
     shown = [(F.min_by(quoted(k), quoted(rid)) if ignore_case else F.first(quoted(k))).alias(f"_s{i}") for i, k in enumerate(keys)]
@@ -247,13 +274,18 @@ def summarise(
     else:
         df, by = islands(df, group, rid), ["_gid"]
     result = df.groupBy(*by).agg(F.count("*").alias("_count"), *shown, *extra, *made)
-    tables = [([o], _commonest(df, by, o, narm, separator) if o.name in COUNTED else _paired(df, by, o, rid, separator)) for o in ops if apart(o) and o.name not in POINTS]
+    tables = []
+    for o in ops:
+        if o.name in COUNTED:
+            tables.append(([o], _commonest(df, by, o, narm, separator)))
+        elif spelt(o, ignore_case):
+            tables.append(([o], spellings(df, by, o, rid, narm, delimiter)))
+        elif _compacts(o, narm):
+            tables.append(([o], _paired(df, by, o, rid, separator)))
     for f in sorted({o.fields[0] for o in ops if apart(o) and o.name in POINTS}):
         own = [o for o in ops if o.name in POINTS and o.fields[0] == f]
         tables.append((own, _order_statistics(df, by, f, own, narm, separator, not keys)))
-    for own, found in tables:
-        same = [result[b].eqNullSafe(found[b]) for b in by]
-        result = result.join(found, same, "left").select(*[result[c] for c in result.columns], *[finish(o.name, found[o.label]).alias(o.label) for o in own])
+    result = with_tables(result, by, tables)
     if keys:
         result = result.orderBy(*by)
     names = [o.label for o in ops]

@@ -1,4 +1,5 @@
 import functools
+import threading
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tablewright.errors import UserError
-from tablewright.operators import compare, exact, health, seeded
+from tablewright.operators import compare, exact, health, modes, seeded
 from tablewright.operators.exact import show_long
 from tablewright.operators.summary import op, summarise
 from tablewright.plans.order import islands, ordinals
@@ -261,3 +262,70 @@ def test_seeded_choices_follow_the_stream(spark, keys):
                     want[(g,) if keys else ()] = v
                 at += 1
     assert got == want
+
+
+def _spelt(pairs):
+    """Of (rid, value) pairs the distinct values without regard to case, as first spelt, in the order of their folded bytes."""
+    first = {}
+    for _, v in sorted(pairs):
+        if v is not None:
+            first.setdefault("".join(c.lower() if c.isascii() else c for c in v), v)
+    return ",".join(first[f] for f in sorted(first, key=lambda f: f.encode()))
+
+
+@pytest.mark.parametrize("narm", [False, True])
+def test_spellings_without_case(spark, narm):
+    rng = np.random.default_rng(3)
+    values = ["Fig", "FIG", "fig", "plum", "PLUM", "_x", "[y", "Äpfel", "äpfel", "", "NA", None]
+    rows = [(i, ["k", "K", "ä", "Ä", None][rng.integers(0, 5)], "lL"[rng.integers(0, 2)], values[rng.integers(0, len(values))]) for i in rng.permutation(300).tolist()]
+    rows += [(300, "only", "l", "n/a"), (301, "only", "L", None)]
+    df = spark.createDataFrame(rows, "rid long, k string, l string, v string").repartition(5)
+    there = lambda v: None if narm and v and v.lower() in ("na", "n/a", "nan") else v
+    folded = lambda k: k and k.replace("K", "k")
+    ops = [op("unique", "v", alias="u"), op("count", "v", alias="n"), op("unique", "l", alias="w")]
+
+    def want(members):
+        return _spelt([(r[0], there(r[3])) for r in members]), sum(there(r[3]) is not None for r in members), _spelt([(r[0], r[2]) for r in members])
+
+    groups, runs = {}, []
+    for r in sorted(rows, key=lambda r: r[0]):
+        groups.setdefault(folded(r[1]), []).append(r)
+        if runs and folded(runs[-1][0][1]) == folded(r[1]):
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    got = summarise(df, ops, ["k"], "rid", narm=narm, ignore_case=True).collect()
+    assert {folded(r.k): (r.k, r.u, r.n, r.w) for r in got} == {k: (m[0][1], *want(m)) for k, m in groups.items()} and len(got) == len(groups)
+    got = summarise(df, ops, ["k"], "rid", sort=False, narm=narm, ignore_case=True).collect()
+    assert [(r.k, r.u, r.n, r.w) for r in got] == [(m[0][1], *want(m)) for m in runs]
+    assert [tuple(r) for r in summarise(df, ops, rid="rid", narm=narm, ignore_case=True).collect()] == [want(rows)]
+    drawn = seeded.seeded_rand(df, [op("rand", "v", alias="r"), *ops], 7, "rid", ["k"], narm=narm, ignore_case=True).collect()
+    assert {folded(r.k): (r.k, r.u, r.n, r.w) for r in drawn} == {k: (m[0][1], *want(m)) for k, m in groups.items()}
+    table = {r.k: r.l for r in modes.crosstab(df, "k", "l", ops[0], "rid", ignore_case=True, narm=narm).collect()}
+    assert table == {k: want(m)[0] for k, m in groups.items()}
+    table = {r.k: r.l for r in modes.crosstab(df, "k", "l", ops[0], "rid", sort=False, ignore_case=True, narm=narm).collect()}
+    assert table == {k: want(next(m for m in runs if folded(m[0][1]) == k))[0] for k in groups}
+    with pytest.raises(UserError, match="row order"):
+        summarise(df, ops, ignore_case=True)
+
+
+@pytest.mark.parametrize("how", ["sorted", "adjacent", "whole", "seeded", "crosstab"])
+def test_spellings_of_a_large_group(spark, how):
+    """A group's rows were sorted once for each of them: 100,000 rows didn't end."""
+    n = 100_000
+    word = F.concat(F.lit("w"), (F.col("id") % 3).cast("string"))
+    df = spark.range(n).select(F.col("id").alias("rid"), F.when(F.col("id") % 2 == 0, "K").otherwise("k").alias("k"), F.when(F.col("id") % 4 == 1, F.upper(word)).otherwise(word).alias("v"))
+    ops = [op("unique", "v", alias="u")]
+    made = {
+        "sorted": lambda: summarise(df, ops, ["k"], "rid", ignore_case=True),
+        "adjacent": lambda: summarise(df, ops, ["k"], "rid", sort=False, ignore_case=True),
+        "whole": lambda: summarise(df, ops, rid="rid", ignore_case=True),
+        "seeded": lambda: seeded.seeded_rand(df, [op("rand", "v", alias="r"), *ops], 7, "rid", ["k"], ignore_case=True).select("u"),
+        "crosstab": lambda: modes.crosstab(df.withColumn("j", F.lit("row")), "j", "k", ops[0], "rid", ignore_case=True),
+    }
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert [r[-1] for r in made[how]().collect()] == ["w0,W1,w2"]
+    finally:
+        late.cancel()
